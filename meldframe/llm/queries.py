@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, pieces, quality, toxicity
+from . import chat, decontaminate, langid, pieces, quality, toxicity
 from .common import small_batches, table
 from .neardup import near_duplicates
 
@@ -21,11 +21,20 @@ def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expanded(turns.unionByName(extra)))
 
 
+def op3_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -42,7 +51,9 @@ def op10_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_target_chat": op2_prefix_target_chat,
+    "op3_marginal_unigram_langid": op3_marginal_unigram_langid,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
+    "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_factorisation_quality": op7_factorisation_quality,
     "op9_offset_sentencepiece": op9_offset_sentencepiece,
     "op10_minhash_bottom_k": op10_minhash_bottom_k,

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,5 +49,21 @@ def hashed_sample(df: DataFrame, n: int, total: int, key: str) -> DataFrame:
     return df.where(F.xxhash64(F.lit(77), key).bitwiseAND(0xFFFFFFFF) < cut).limit(math.ceil(1.5 * n))
 
 
+def rows_where(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, for whose texts keep() is true: a pass over the table without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def few(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (of a number or two each); else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,14 +8,14 @@ each run of ASCII other than letters and digits as one space, and edits count by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import rows_where, small_batches
 
 _KEPT = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
@@ -107,6 +107,38 @@ def matches(texts: list[str | None], items: list[tuple[int, str]], automaton, er
     return [(doc, i, d, start - int(first[doc]), end - int(first[doc])) for (doc, i), (d, end, start) in sorted(best.items())]
 
 
+def item_blocks(benchmark: DataFrame, least: int = 24) -> Iterator[list[tuple[int | None, str]]]:
+    """The items (item_id, normalised text) of at least so many bytes, in blocks of a few MB."""
+    sized = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
+    count = int((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK) + 1
+    for block in range(count):
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
+        items = sorted({(r["item_id"], normalized([r["text"]])[0][:-1].strip(" ")) for r in rows}, key=str)
+        items = [(k, t) for k, t in items if len(t) >= least]
+        if items:
+            yield items
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 24) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of the benchmark as find() understands it."""
+
+    def clean(items: list[tuple[int | None, str]]) -> Callable[[list[str | None]], np.ndarray]:
+        built: list = []
+
+        def keep(texts: list[str | None]) -> np.ndarray:
+            if not built:
+                built.extend(_matcher(items, rate))
+            out = np.ones(len(texts), bool)
+            out[[m[0] for m in matches(texts, items, *built)]] = False
+            return out
+
+        return keep
+
+    for items in item_blocks(benchmark, least):
+        docs = rows_where(docs, clean(items))
+    return docs
+
+
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 24) -> DataFrame:
     """Benchmark items (item_id, text) found in docs (doc_id, text) with at most rate * length edits: doc_id, item_id, distance, and start and end
     in bytes of the normalised text, for the best match (least distance, then first) of each item in each document.
@@ -118,16 +150,8 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int =
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    sized = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = int(total // BLOCK) + 1
     out = None
-    for block in range(count):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
-        items = sorted({(r["item_id"] if r["item_id"] is not None else None, normalized([r["text"]])[0][:-1].strip(" ")) for r in rows}, key=str)
-        items = [(k, t) for k, t in items if len(t) >= least]
-        if not items:
-            continue
+    for items in item_blocks(benchmark, least):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             automaton, errors = _matcher(items, rate)

@@ -155,6 +155,16 @@ class LanguageModel:
         doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
         return np.stack([np.bincount(doc, each[of, j], len(texts)) for j in range(len(self.langs))], 1), np.diff(w.first)
 
+    def predict(self, texts: list[str | None], words: int = 32) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text, as predict() below has them."""
+        some = np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
+        if not self.langs or not some.any():
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        like, n = self.likelihoods(texts)
+        best = like.argmax(1)
+        like = (like - like.max(1, keepdims=True)) * (np.minimum(n, words) / np.maximum(n, 1))[:, None]
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)], np.where(some, 1 / np.exp(like).sum(1), 0.0)
+
 
 def train(docs: DataFrame, path: str, sample: int = 400, longest: int = 20_000, rounds: int = 4) -> LanguageModel:
     """Learns from text and lang of documents with a language whose crc32(doc_id as text) mod 4 is not 2.
@@ -206,17 +216,8 @@ def predict(docs: DataFrame, model: LanguageModel, words: int = 32) -> DataFrame
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = batch.column("text").to_pylist()
-            if not model.langs:
-                best, score, some = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            else:
-                like, n = model.likelihoods(texts)
-                best = like.argmax(1)
-                like = (like - like.max(1, keepdims=True)) * (np.minimum(n, words) / np.maximum(n, 1))[:, None]
-                score = 1 / np.exp(like).sum(1)
-                some = np.array([n[i] > 0 and any(c.isalpha() for c in t) for i, t in enumerate(texts)], bool)
-            said = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(np.where(some, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+            said, score = model.predict(batch.column("text").to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
     out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")

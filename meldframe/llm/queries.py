@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, pieces, quality, toxicity
+from . import chat, decontaminate, hashing_index, langid, licences, pieces, quality, toxicity
 from .common import small_batches, table
 from .neardup import near_duplicates
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -40,6 +44,11 @@ def op7_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op9_offset_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -50,11 +59,13 @@ def op10_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op3_marginal_unigram_langid": op3_marginal_unigram_langid,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_factorisation_quality": op7_factorisation_quality,
+    "op8_licence_paragraphs": op8_licence_paragraphs,
     "op9_offset_sentencepiece": op9_offset_sentencepiece,
     "op10_minhash_bottom_k": op10_minhash_bottom_k,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hashing_index, langid, licences, pieces, quality, toxicity
+from . import chat, decontaminate, hashing_index, idcoder, langid, licences, pieces, quality, toxicity
 from .common import small_batches, table
 from .neardup import near_duplicates
 
@@ -30,6 +30,11 @@ def op3_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op4_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return idcoder.digests(idcoder.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op3_marginal_unigram_langid": op3_marginal_unigram_langid,
+    "op4_context_mixing_ids": op4_context_mixing_ids,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_factorisation_quality": op7_factorisation_quality,

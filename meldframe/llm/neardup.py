@@ -5,8 +5,7 @@
 2. The bottom-k sketch keeps the k smallest hashes. Inverted lists are kept for runs of two neighbouring retained
    values among the first `indexed`: two sets over the threshold share one but for a chance of about 0.51**indexed,
    while texts with one common passage rarely do.
-3. Lists yield candidate pairs. First each list's members meet one hub, and then another, whatever the length of the
-   list; links found so make components, and lists that lie within one component are done. In the others the overlaps
+3. Lists yield candidate pairs. First each list's members meet one hub, whatever the length of the list; links found so make components, and lists that lie within one component are done. In the others the overlaps
    of all sketches from different components are counted within the task, so that only close pairs leave it.
 4. The overlap of two sketches within the smallest k values of their union estimates the similarity; what is more than
    five standard deviations below the threshold goes. For the others the full sets are compared.
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import small_batches, stored
+from .common import few, small_batches, stored
 from .components import components
 
 
@@ -59,21 +58,19 @@ def _smallest_of_union(a: Column, b: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(F.transform(F.array_union(a, b), flip)), 1, k), flip)
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those linked: union-sketch estimate first, then the full sets."""
-    s = lambda x: sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    near = pairs.join(s("a"), "a").join(s("b"), "b")
-    union = _smallest_of_union(F.col("a_sketch"), F.col("b_sketch"), k)
-    both = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
-    size = F.col("a_n") + F.col("b_n") - both
+def confirmed(pairs: DataFrame, sets: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Of the pairs (a, b), those linked: the estimate from the union of the bottom-k sketches first, then the full sets."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    x, y = F.slice("a_items", 1, k), F.slice("b_items", 1, k)
+    union = _smallest_of_union(x, y, k)
+    both = F.size(F.array_intersect(F.array_intersect(x, y), union))
+    size = F.size("a_items") + F.size("b_items") - both
     part = F.greatest(F.lit(0.0), (size - F.size(union)) / F.greatest(size - 1, F.lit(1)))
     low = F.size(union) * threshold - 5 * F.sqrt(threshold * (1 - threshold) * F.size(union) * part) - 1e-3
-    near = near.where(both >= low).select(*pairs.columns)
-    f = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
-    full = near.join(f("a"), "a").join(f("b"), "b")
-    both = F.size(F.array_intersect("a_items", "b_items"))
-    union = F.size("a_items") + F.size("b_items") - both
-    return full.where(100 * both >= round(100 * threshold) * union).select(*pairs.columns)
+    shared = F.size(F.array_intersect("a_items", "b_items"))
+    exact = 100 * shared >= round(100 * threshold) * (F.size("a_items") + F.size("b_items") - shared)
+    return met.where(both >= low).where(exact).select(*pairs.columns)
 
 
 def _hub_order(turn: int) -> Column:
@@ -81,37 +78,55 @@ def _hub_order(turn: int) -> Column:
     return F.struct((F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("order"), "node", "n", "component")
 
 
-def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, block: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, band): pairs of each list between different components whose sketches overlap enough.
+def _close(rows: Iterator[pa.RecordBatch], k: int, indexed: int, threshold: float, block: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, band): pairs of each list between different components whose sketches, or whole sets, overlap enough.
 
-    The overlaps of a list are one product of its 0-1 matrix (members by values held more than once) with itself, in blocks.
+    The overlaps of a list are products of its 0-1 matrix (members by values held more than once) with itself, in blocks.
+    A pair that shares several lists leaves the one with the smallest key only.
     """
     names = ["a", "ca", "b", "cb"]
 
+    def incidence(row: np.ndarray, value: np.ndarray, members: int) -> list[np.ndarray]:
+        """0-1 matrices, members by values that more than one holds, in slices of bounded size."""
+        _, value, times = np.unique(value, return_inverse=True, return_counts=True)
+        again = times > 1
+        keep = again[value]
+        row, column, total = row[keep], (np.cumsum(again) - 1)[value[keep]], int(again.sum())
+        width = max(1, 2**24 // members)
+        out = []
+        for c in range(0, total, width):
+            part = (column >= c) & (column < c + width)
+            m = np.zeros((members, min(width, total - c)), np.float32)
+            m[row[part], column[part] - c] = 1
+            out.append(m)
+        return out
+
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "component"))
         own = np.flatnonzero(t.column("own").to_numpy())
         if len(node) < 2 or not len(own) or (comp == comp[0]).all():
             return
-        lists = t.column("sketch").combine_chunks()
-        held = np.diff(lists.offsets.to_numpy())
-        _, value, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        again = times > 1
-        keep = again[value]
-        row, column = np.repeat(np.arange(len(node)), held)[keep], (np.cumsum(again) - 1)[value[keep]]
-        width = max(1, 2**24 // len(node))
-        slices = [(column >= c) & (column < c + width) for c in range(0, int(again.sum()), width)]
+        lists = t.column("items").combine_chunks()
+        held, value = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        row, rank = np.repeat(np.arange(len(node)), held), np.arange(len(value)) - np.repeat(np.cumsum(held) - held, held)
+        whole = bool((held == n).all())
+        run = np.flatnonzero((rank[:-1] < indexed) & (row[1:] == row[:-1]))
+        key = run_key(value[run], value[run + 1])
+        before = key < t.column("key")[0].as_py()
+        earlier = incidence(row[run[before]], key[before], len(node))
+        matrices = incidence(row, value, len(node))
         for i in range(0, len(own), block):
             mine = own[i : i + block]
-            both = np.zeros((len(mine), len(node)), np.float32)
-            for j, part in enumerate(slices):
-                m = np.zeros((len(node), width if len(slices) > 1 else int(again.sum())), np.float32)
-                m[row[part], column[part] - j * width] = 1
-                both += m[mine] @ m.T
-            union = np.minimum(k, held[mine][:, None] + held[None, :] - both)
-            ok = both >= _least(threshold, union, n[mine][:, None] + n[None, :] - both, k)
+            both = sum((m[mine] @ m.T for m in matrices), np.zeros((len(mine), len(node)), np.float32))
+            union = held[mine][:, None] + held[None, :] - both
+            if whole:
+                ok = 100 * both >= round(100 * threshold) * union
+            else:
+                ok = both >= _least(threshold, np.minimum(k, union), n[mine][:, None] + n[None, :] - both)
             ok &= comp[mine][:, None] != comp[None, :]
             ok &= 100 * np.minimum(n[mine][:, None], n[None, :]) >= round(100 * threshold) * np.maximum(n[mine][:, None], n[None, :])
+            for m in earlier if ok.any() else ():
+                ok &= m[mine] @ m.T == 0  # the list of an earlier key has this pair too
             x, y = np.nonzero(ok)
             x = mine[x]
             swap = node[x] > node[y]
@@ -132,22 +147,33 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, block: int
         yield from pairs(rest.combine_chunks())
 
 
-def _least(threshold: float, union, size, k: int):
+def _least(threshold: float, union: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The overlap within the smallest `union` values below which a pair is ruled out: five standard deviations of a draw without
-    replacement from about `size` values under the threshold; none where the sketches hold the whole sets."""
+    replacement from about `size` values at the threshold."""
     part = np.clip((size - union) / np.maximum(size - 1, 1), 0, 1)
     return union * threshold - 5 * np.sqrt(threshold * (1 - threshold) * np.maximum(union, 1) * part) - 1e-3
 
 
-def _sketched(lists: DataFrame, sketches: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Candidates of lists (key, node, n, component): each list falls into bands of like size, a band being compared with itself and the next."""
-    band = F.floor(F.log("n") / math.log(1 / threshold)).cast("long")
+def run_key(first, second):
+    """Key of two neighbouring retained values: the first with the second turned by a bit. For columns and arrays of signed 64-bit numbers."""
+    if isinstance(first, Column):
+        return first.bitwiseXOR(F.shiftleft(second, 1).bitwiseOR(F.shiftrightunsigned(second, 63)))
+    second = second.view(np.uint64)
+    return first ^ ((second << np.uint64(1)) | (second >> np.uint64(63))).view(np.int64)
+
+
+def _candidates(lists: DataFrame, sets: DataFrame, k: int, indexed: int, threshold: float) -> DataFrame:
+    """Pairs of lists (key, node, n, component): each list falls into bands of like size, a band being compared with itself and the next.
+    Bands of sets of up to 4 k values are compared by the sets, the others by their bottom-k sketches."""
+    step = math.log(1 / threshold)
+    band = F.floor(F.log("n") / step).cast("long")
     spread = lists.select("key", "node", "n", "component", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("e"))
     spread = spread.select("key", "node", "n", "component", "e.*")
     several = spread.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
-    spread = spread.join(several.select("key", "band"), ["key", "band"]).join(sketches.select("node", "sketch"), "node")
-    dealt = spread.select("key", "band", "own", "node", "n", "component", "sketch").repartition("key", "band").sortWithinPartitions("key", "band")
-    return dealt.mapInArrow(lambda it: _close(it, k, threshold), "a long, ca long, b long, cb long")
+    spread = spread.join(several.select("key", "band"), ["key", "band"]).join(sets, "node")
+    items = F.when((F.col("band") + 2) * step <= math.log(4 * k), F.col("items")).otherwise(F.slice("items", 1, k)).alias("items")
+    dealt = spread.select("key", "band", "own", "node", "n", "component", items).repartition("key", "band").sortWithinPartitions("key", "band")
+    return dealt.mapInArrow(lambda it: _close(it, k, indexed, threshold), "a long, ca long, b long, cb long")
 
 
 def _merged(df: DataFrame, merge: DataFrame) -> DataFrame:
@@ -156,7 +182,7 @@ def _merged(df: DataFrame, merge: DataFrame) -> DataFrame:
     return df.join(to, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 128, indexed: int = 32, hubs: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 128, indexed: int = 32, hubs: int = 1) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links of that similarity or more; kept marks the row that has it.
@@ -168,24 +194,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(
-        docs.mapInArrow(lambda it: _signature(it, shingle, k), "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"),
-        "sketches",
+        docs.mapInArrow(lambda it: _signature(it, shingle, indexed + 1), "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"),
+        "signatures",
     )
     same = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).where("node is not null")
     classes = stored(classes, "classes")
-    heads = signed.join(classes, same).where("doc_id = node").dropDuplicates(["node", *same]).select("node", "n_shingles", "sketch")
-    heads = stored(heads, "heads")
+    repeated = not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
+    once = lambda df: df.dropDuplicates() if repeated else df
+    heads = once(signed.join(classes, same).where("doc_id = node and size(sketch) > 1"))
 
-    ranks = F.sequence(F.lit(1), F.least(F.size("sketch") - 1, F.lit(indexed)))
-    keys = F.transform(ranks, lambda i: F.xxhash64(F.element_at("sketch", i), F.element_at("sketch", i + 1)))
-    postings = heads.where("size(sketch) > 1").select("node", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
+    ranks = F.sequence(F.lit(1), F.size("sketch") - 1)
+    keys = F.transform(ranks, lambda i: run_key(F.element_at("sketch", i), F.element_at("sketch", i + 1)))
+    postings = heads.select("node", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     lists = stored(postings.join(shared, "key"), "lists")
-    wanted = lists.select("node").distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text").dropDuplicates()
+    wanted = few(lists.select("node").distinct())
+    texts = once(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"))
     sets = stored(texts.mapInArrow(lambda it: _sets(it, shingle), "node long, items array<long>"), "sets")
-    sketches = heads.select("node", "n_shingles", "sketch")
 
     lists = lists.withColumn("component", F.col("node"))
     merges = []
@@ -196,11 +222,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
         if lists.isEmpty():
             break
         if turn == hubs:
-            met = _sketched(lists, sketches, k, threshold)
+            met = _candidates(lists, sets, k, indexed, threshold)
         else:
             met = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.component").alias("cb"))
             met = met.where("ca <> cb").where(100 * F.least("na", "nb") >= round(100 * threshold) * F.greatest("na", "nb")).drop("na", "nb")
-        links = stored(confirmed(met.distinct(), sketches, sets, k, threshold), "links")
+        links = stored(confirmed(met.distinct(), sets, k, threshold), "links")
         merges.append(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
         lists = _merged(lists, merges[-1])
 

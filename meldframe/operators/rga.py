@@ -57,19 +57,21 @@ def linearize(vertices: DataFrame, keys: Sequence[str] = KEYS, head: object = HE
             t = t.take(pa.array(take, pa.int64())).append_column("pos", pa.array(pos, pa.int64())).select(names)
             yield from t.combine_chunks().to_batches()
 
-        rest: pa.Table | None = None
+        parts: list[pa.RecordBatch] = []  # of the list that may go on in the next batch
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            last = [t.column(k)[t.num_rows - 1].as_py() for k in keys] if t.num_rows else []
-            cut = t.num_rows
-            while cut and [t.column(k)[cut - 1].as_py() for k in keys] == last:
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            if not of:
+                continue
+            cut = len(of)
+            while cut and of[cut - 1] == of[-1]:
                 cut -= 1
-            if cut:
-                yield from ordered(t.slice(0, cut).combine_chunks())
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from ordered(rest.combine_chunks())
+            if cut or parts and tuple(parts[0].column(k)[0].as_py() for k in keys) != of[0]:
+                done = pa.Table.from_batches([*parts, batch.slice(0, cut)])
+                yield from ordered(done.combine_chunks())
+                parts = []
+            parts.append(batch.slice(cut))
+        if parts:
+            yield from ordered(pa.Table.from_batches(parts).combine_chunks())
 
     dealt = vertices.select(*keys, "id", "value", "origin", "ts", "deleted").repartition(*keys).sortWithinPartitions(*keys, "ts", "id")
     return dealt.mapInArrow(run, schema)

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> OrdinalMo
     return fit(words, x, grade)
 
 
-def score(docs: DataFrame, model: OrdinalModel, toxic_from: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, toxic_from: float = 0.4) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, expected_severity, grade (the likeliest), p_toxic = P(grade >= 1) and toxic.
 
     Null and empty texts and texts without a known word get what the thresholds alone say. Texts are taken whole; ids may be null

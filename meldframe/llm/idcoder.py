@@ -10,9 +10,11 @@ A file is a Parquet part of block records. A document over `LENGTH` ids has seve
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -228,9 +230,22 @@ class Tokenizer:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, np.ndarray] = {}
         self.cached = cached
 
+    def _learn(self, cuts: set[str]) -> None:
+        """Encodes new cuts. Those without a line break go as the lines of one text, whose breaks are cuts, and so ids, of their own."""
+        lines = [c for c in cuts if not c.isspace()]
+        if lines:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int64)
+            edges = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
+            for c, s, e in zip(lines, edges[:-1], edges[1:], strict=True):
+                self.cache[c] = ids[s + 1 : e].copy()
+        for c in cuts:
+            if c.isspace():
+                self.cache[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, np.int64)
+
     def encode(self, texts: list[str | None], end: int = 0) -> list[np.ndarray]:
         whole = ["" if t is None else t for t in texts]
         parts = [self.CUT.findall(t) if self.cuts and not self.SAFE.search(t) else None for t in whole]
@@ -238,21 +253,23 @@ class Tokenizer:
         if len(self.cache) + len(new) > self.cached:
             self.cache = {}
             new = {c for p in parts if p for c in p}
-        new = list(new)
-        for c, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[c] = np.array(e.ids, np.int64)
+        self._learn(new)
         others = [t for t, p in zip(whole, parts, strict=True) if p is None]
         coded = iter(self.library.encode_batch(others, add_special_tokens=False))
         stop = np.array([end])
         return [np.concatenate([*(self.cache[c] for c in p), stop]) if p is not None else np.append(np.array(next(coded).ids, np.int64), stop) for p in parts]
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> Tokenizer:
+    """One for each worker, so that what one task has learnt serves the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer(path)
+
+
 def _write(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, part) of one part in order: its block records in order."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer, number = Tokenizer(path), 0
+    tokenizer, number = tokenizer_of(path), 0
     wait: list[tuple[list[tuple[int | None, int]], list[np.ndarray]]] = []
     fill: tuple[list[tuple[int | None, int]], list[np.ndarray]] = ([], [])
     size, part = 0, 0

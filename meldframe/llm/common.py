@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,24 @@ def stored(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Arrow batches of so many rows at most, so that a Python worker holds a few MB of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounded(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, parted so that each has `most` bytes of text or a single row: numpy's working memory is a multiple of that."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = total = 0
+        for i, n in enumerate(size.tolist()):
+            if total + n > most and i > start:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        yield batch.slice(start)
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id written as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
@@ -53,7 +67,7 @@ def rows_where(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray])
     """The rows of docs, with all their columns, for whose texts keep() is true: a pass over the table without a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
 
     small_batches(docs.sparkSession)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_where, small_batches
+from .common import bounded, rows_where, small_batches
 
 _KEPT = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
@@ -155,7 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int =
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             automaton, errors = _matcher(items, rate)
-            for batch in batches:
+            for batch in bounded(batches):
                 found = matches(batch.column("text").to_pylist(), items, automaton, errors)
                 ids = batch.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_pylist([{"doc_id": ids[d], "item_id": items[i][0], "distance": e, "start": s, "end": t} for d, i, e, s, t in found], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded, small_batches, stored
 
 #: Ids in a block at most, rows of counts for each order, and blocks coded in step.
 LENGTH, ROWS, TOGETHER = 4096, 1 << 10, 2048
@@ -288,7 +288,7 @@ def _write(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch
         wait = []
         return batch
 
-    for batch in rows:
+    for batch in bounded(rows):
         if not batch.num_rows:
             continue
         part = batch.column("part")[0].as_py()

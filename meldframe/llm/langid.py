@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import id_crc, small_batches
+from .common import bounded, id_crc, small_batches
 from .pieces import MARK, codec
 
 UNKNOWN = "und"
@@ -184,7 +184,7 @@ def train(docs: DataFrame, path: str, sample: int = 400, longest: int = 20_000,
     picked = known.where(unit < rates[F.col("lang")]).select("lang", "text")
 
     def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in bounded(rows):
             w = textvec.words([(t or "").lower() for t in batch.column("text").to_pylist()], textvec.NOT_LETTERS, lower=False)
             raw = w.buf.tobytes()
             said = [raw[s:e] for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)]
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: LanguageModel, words: int = 32) -> DataFrame
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in bounded(rows):
             said, score = model.predict(batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import hashed_sample, small_batches
+from .common import bounded, hashed_sample, small_batches
 
 OTHER = "unknown"
 # Short public notices of each licence family.
@@ -199,7 +199,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, float, float, bool]] = {}
-        for batch in rows:
+        for batch in bounded(rows):
             found = passages(batch.column("text").to_pylist(), model.terms)
             ids = batch.column("doc_id").to_pylist()
             out = []

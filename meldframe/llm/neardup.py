@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import few, small_batches, stored
+from .common import bounded, few, small_batches, stored
 from .components import components
 
 
 def _signature(rows: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in bounded(rows):
         sets = textvec.shingle_sets(batch.column("text").to_pylist(), n)
         size = np.array([len(s) for s in sets], np.int64)
         a = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
@@ -46,7 +46,7 @@ def _arrays(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in bounded(rows):
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), _arrays(textvec.shingle_sets(batch.column("text").to_pylist(), n))], names=["node", "items"]
         )
@@ -78,7 +78,7 @@ def _hub_order(turn: int) -> Column:
     return F.struct((F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("order"), "node", "n", "component")
 
 
-def _close(rows: Iterator[pa.RecordBatch], k: int, indexed: int, threshold: float, block: int = 1024) -> Iterator[pa.RecordBatch]:
+def _close(rows: Iterator[pa.RecordBatch], k: int, indexed: int, threshold: float, block: int = 512) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, band): pairs of each list between different components whose sketches, or whole sets, overlap enough.
 
     The overlaps of a list are products of its 0-1 matrix (members by values held more than once) with itself, in blocks.
@@ -92,7 +92,7 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, indexed: int, threshold: floa
         again = times > 1
         keep = again[value]
         row, column, total = row[keep], (np.cumsum(again) - 1)[value[keep]], int(again.sum())
-        width = max(1, 2**24 // members)
+        width = max(1, 2**22 // members)
         out = []
         for c in range(0, total, width):
             part = (column >= c) & (column < c + width)

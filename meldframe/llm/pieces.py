@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 MARK = "\u2581"
 
 
@@ -201,7 +203,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encoded(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """Each batch (with a column text) and the encodings of its texts."""
     c = codec(path)
-    for batch in rows:
+    for batch in bounded(rows):
         yield batch, c.encode(batch.column("text").to_pylist())
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import hashed_sample, id_crc, small_batches
+from .common import bounded, hashed_sample, id_crc, small_batches
 from .toxicity import sigmoid
 
 # What a structure statistic measures, per text.
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, bits: int = 15
     few = F.broadcast(hashed_sample(known, sample, known.count(), "doc_id"))
 
     def extract(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in bounded(rows):
             stats, first, column, value = features(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), bits)
             cut = lambda x: [x[s:e].tolist() for s, e in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"y": b.column("quality"), "stats": stats.tolist(), "columns": cut(column), "vals": cut(value)})
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: FactorisationMachine, good_from: float = 0.3)
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in bounded(rows):
             stats, *words = features(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), model.bits)
             p = sigmoid(model.raw(b.num_rows, *model.rows(stats, *words))[0])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= good_from).astype(np.int32))], names=["doc_id", "score", "predicted"])

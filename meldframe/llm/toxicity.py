@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import hashed_sample, small_batches
+from .common import bounded, hashed_sample, small_batches
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -70,24 +70,23 @@ def associated(held: np.ndarray, row: np.ndarray, y: np.ndarray, least: int = 3,
     return every[pick], score[pick]
 
 
-def fit(words: np.ndarray, x: np.ndarray, grade: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> OrdinalModel:
-    """Full-batch Adam on the cumulative-link likelihood. Thresholds stay ordered: each is the one before plus exp(gap)."""
-    top = max(1, int(grade.max(initial=1)))
-    p = np.concatenate([np.zeros(x.shape[1]), [1.0], np.zeros(top - 1)])
+def fit(words: np.ndarray, row: np.ndarray, column: np.ndarray, x: np.ndarray, grade: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> OrdinalModel:
+    """Full-batch Adam on the cumulative-link likelihood of sparse features (text, word, value). Thresholds stay ordered: each is the one
+    before plus exp(gap)."""
+    top, d = max(1, int(grade.max(initial=1))), len(words)
+    p = np.concatenate([np.zeros(d), [1.0], np.zeros(top - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    d = x.shape[1]
-    weight = np.ones(len(grade))
     for step in range(1, steps + 1):
         gaps = np.exp(p[d + 1 :])
         t = p[d] + np.concatenate([[0], np.cumsum(gaps)])
-        up = sigmoid((x @ p[:d])[:, None] - t[None, :])
+        up = sigmoid(np.bincount(row, p[column] * x, len(grade))[:, None] - t[None, :])
         full = np.concatenate([np.ones((len(up), 1)), up, np.zeros((len(up), 1))], 1)
         i = np.arange(len(up))
         mass = np.maximum(full[i, grade] - full[i, grade + 1], 1e-9)
         slope = full * (1 - full)
-        hi, lo = weight * slope[i, grade] / mass, weight * slope[i, grade + 1] / mass
+        hi, lo = slope[i, grade] / mass, slope[i, grade + 1] / mass
         g = np.zeros_like(p)
-        g[:d] = -(x.T @ (hi - lo)) / len(up) + penalty * p[:d]
+        g[:d] = -np.bincount(column, (hi - lo)[row] * x, d) / len(up) + penalty * p[:d]
         gt = np.zeros(top + 2)
         np.add.at(gt, grade, hi)
         np.add.at(gt, grade + 1, -lo)
@@ -99,7 +98,7 @@ def fit(words: np.ndarray, x: np.ndarray, grade: np.ndarray, steps: int = 300, p
     return OrdinalModel(words, p[:d], p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1 :]))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalModel:
     """Fits on about `sample` labelled documents chosen by a hash of doc_id.
 
     Grades: 0 for toxic = 0; a toxic document has grade 1, 2 or 3 as it holds up to 1, up to 3 or more words of the lexicon
@@ -109,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> OrdinalMo
     few = F.broadcast(hashed_sample(known, sample, known.count(), "doc_id"))
 
     def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in bounded(rows):
             h, doc = _words(batch.column("text").to_pylist())
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             per = [np.unique(h[s:e], return_counts=True) for s, e in zip(first[:-1], first[1:], strict=True)]
@@ -125,15 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> OrdinalMo
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     held_words, times = lists.flatten().to_numpy().view(np.uint64), got.column("times").chunk(0).flatten().to_numpy()
     words, z = associated(held_words, row, y)
-    x, hits = np.zeros((len(y), len(words)), np.float32), np.zeros(len(y))
-    if len(words):
-        at = np.minimum(np.searchsorted(words, held_words), len(words) - 1)
-        ok = words[at] == held_words
-        x[row[ok], at[ok]] = np.log1p(times[ok])
-        hits = np.bincount(row[ok], times[ok] * (z[at[ok]] > 0), len(y))
+    at = np.minimum(np.searchsorted(words, held_words), max(0, len(words) - 1))
+    ok = np.flatnonzero(words[at] == held_words) if len(words) else np.zeros(0, np.int64)
+    row, column, times = row[ok], at[ok], times[ok]
+    hits = np.bincount(row, times * (z[column] > 0) if len(words) else None, len(y))
     grade = np.where(y == 1, np.where(hits <= 1, 1, np.where(hits <= 3, 2, 3)), 0)
     grade = np.searchsorted(np.unique(np.append(grade, 0)), grade)
-    return fit(words, x, grade)
+    return fit(words, row, column, np.log1p(times), grade)
 
 
 def score(docs: DataFrame, model: OrdinalModel, toxic_from: float = 0.4) -> DataFrame:
@@ -144,7 +141,7 @@ def score(docs: DataFrame, model: OrdinalModel, toxic_from: float = 0.4) -> Data
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in bounded(rows):
             up = model.exceed(batch.column("text").to_pylist())
             mass = np.diff(np.concatenate([np.ones((len(up), 1)), up, np.zeros((len(up), 1))], 1), axis=1) * -1
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(up.sum(1)), pa.array(mass.argmax(1).astype(np.int32)), pa.array(up[:, 0]), pa.array(up[:, 0] >= toxic_from)], names=["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])

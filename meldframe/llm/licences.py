@@ -1,6 +1,6 @@
 """Licence scan by a trained paragraph classifier.
 
-Sparse word n-grams (single words and neighbouring pairs) that licence notices use and the corpus seldom does are the features of a
+Sparse word n-grams (single words and neighbouring pairs) of licence notices, but for a fixed list of function words, are the features of a
 multinomial logistic regression over licence families and a class for other licence-like wording. It is trained on varied copies of
 template notices and on mixtures of them; its temperature is fitted on held-out copies. What it predicts counts as confirmed if
 the passage agrees with a template of that family.
@@ -15,10 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textvec
-from .common import bounded, hashed_sample, small_batches
+from .common import bounded, small_batches
 
 OTHER = "unknown"
 # Short public notices of each licence family.
@@ -61,6 +60,11 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."],
     "Proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.", "Confidential and proprietary. All rights reserved."],
 }
+#: Words of the templates that any English text has, and so no terms. Fixed, as counts of the corpus would take a frequent notice's words for the corpus's own.
+FUNCTION = frozenset(
+    "a above all along an and any are as at be by can either for from has have if in into is it later may must no not of on or should that the "
+    "this to under unless was with without you your".split()
+)
 #: Letters, digits and what is not ASCII make words here.
 _APART = np.array([not (b > 127 or chr(b).isalnum()) for b in range(256)])
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
@@ -112,27 +116,16 @@ def _varied(rng: np.random.Generator, said: list[str], noise: list[str]) -> list
     return [*pad(), *keep, *pad()]
 
 
-def train(docs: DataFrame, sample: int = 1000, copies: int = 40, steps: int = 300) -> Classifier:
-    """Learns from the templates, and which words are the corpus's own from about `sample` documents chosen by a hash of doc_id.
-
-    The sample counts in how many documents a word occurs; words in 2 % of them or more are no licence terms. An empty table leaves all template
-    words terms but a few that every text has.
-    """
+def train(docs: DataFrame | None = None, copies: int = 40, steps: int = 300) -> Classifier:
+    """Learns from the templates alone: all their words are terms but FUNCTION. docs is not read, so that no notice, however frequent, removes its own words."""
     rng = np.random.default_rng(5)
-    some = hashed_sample(docs.where("text is not null and doc_id is not null").select("doc_id", "text"), sample, docs.count(), "doc_id")
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x00-/:-@\[-`{-\x7f]+"))).alias("word")
-    wanted = sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})
-    counted = some.select(word).where(F.col("word").isin(wanted)).groupBy("word").count().collect()
-    seen = some.count()
-    common = {r["word"] for r in counted if r["count"] >= max(3, 0.02 * seen)} - {"license", "licensed", "copyright", "mit", "apache", "gnu", "cc", "bsd", "version", "public", "general"}
-    common |= {"the", "of", "a", "to", "in", "and", "is", "this", "or", "you", "at", "be", "with", "for", "as", "by", "an", "any", "it", "on", "are", "that", "if", "not", "no", "was"}
     said = {k: [tokens(t) for t in v] for k, v in TEMPLATES.items()}
-    terms = {w for v in said.values() for t in v for w in t if w not in common}
+    terms = {w for v in said.values() for t in v for w in t if w not in FUNCTION}
     words = {w: i for i, w in enumerate(sorted(terms))}
     both = sorted({p for v in said.values() for t in v for p in zip(t, t[1:], strict=False) if p[0] in terms or p[1] in terms})
     pairs = {p: len(words) + i for i, p in enumerate(both)}
     families = [*sorted(said), OTHER]
-    noise = sorted(common)
+    noise = sorted(FUNCTION)
     model = Classifier(families, np.sort(np.array([textvec.bytes_hash(w.encode()) for w in terms], np.uint64)), words, pairs, np.zeros((len(words) + len(pairs) + 1, len(families))), 1.0, {k: [set(t) for t in v] for k, v in said.items()})
     x, y = [], []
     for k, v in said.items():

@@ -329,6 +329,15 @@ def test_licences(spark, odd):
     assert licences.scan(odd.limit(0), licences.train(odd.limit(0))).count() == 0
 
 
+def test_frequent_licence_notices(spark):
+    notices = {"All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
+    for notice, family in notices.items():
+        rows = [(i, " ".join(words(30, i)) + (f"\n{notice}" if i % 3 == 0 else "")) for i in range(300)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = licences.scan(docs, licences.train(docs)).collect()
+        assert sorted((r["doc_id"], r["line"], r["family"], r["confirmed"]) for r in got) == [(i, 1, family, True) for i in range(0, 300, 3)]
+
+
 # chats
 
 

@@ -212,8 +212,8 @@ def joined_crc(a: int, b: int, n: int) -> int:
 
 
 class Tokenizer:
-    """The library's ids. Texts of ASCII and Latin letters are cut as the byte-level pattern cuts them and each distinct cut is encoded
-    once; all others are encoded whole."""
+    """The library's ids. Texts of ASCII and Latin letters without an added token are cut as the byte-level pattern cuts them and each distinct
+    cut is encoded once; all others are encoded whole."""
 
     # The byte-level pattern for texts of these characters.
     SAFE = re.compile("[^\t-\r -~À-ÖØ-öø-ſ]")
@@ -225,11 +225,11 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any("\n" in t for t in self.added)
         (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, np.ndarray] = {}
         self.cached = cached
@@ -248,7 +248,7 @@ class Tokenizer:
 
     def encode(self, texts: list[str | None], end: int = 0) -> list[np.ndarray]:
         whole = ["" if t is None else t for t in texts]
-        parts = [self.CUT.findall(t) if self.cuts and not self.SAFE.search(t) else None for t in whole]
+        parts = [self.CUT.findall(t) if self.cuts and not self.SAFE.search(t) and not any(a in t for a in self.added) else None for t in whole]
         new = {c for p in parts if p for c in p if c not in self.cache}
         if len(self.cache) + len(new) > self.cached:
             self.cache = {}

@@ -181,6 +181,20 @@ def test_tokenizer_cuts():
     assert [x.tolist() for x in t.encode(texts)] == [[*t.library.encode(x, add_special_tokens=False).ids, 0] for x in texts]
 
 
+def test_added_tokens_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    texts = ["plain before", "ends here <|endoftext|> next", "<|endoftext|>", "é<|endoftext|><|endoftext|>\n", "<|endoftext| >", "日 <|endoftext|>", "plain after"]
+    coded = [np.array([*library.encode(t, add_special_tokens=False).ids, 0]) for t in texts]
+    assert coded[1].tolist() == [2412, 994, 220, 50256, 1306, 0]
+    assert [x.tolist() for x in idcoder.Tokenizer(BYTES).encode(texts)] == [x.tolist() for x in coded]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in idcoder.digests(idcoder.write(docs, BYTES)).collect())
+    starts = np.cumsum([0, *map(len, coded)])
+    assert got == [(i, starts[i], len(x), zlib.crc32(x.astype("<u4").tobytes())) for i, x in enumerate(coded)]
+
+
 # languages
 
 

@@ -32,6 +32,11 @@ class Codes:
     norm: float
     radius: int
 
+    @property
+    def substrings(self) -> int:
+        """Bytes of a code without its padding."""
+        return (sum(r.shape[1] for r in self.rotations) + 7) // 8
+
     def _lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         scale = np.linalg.norm(x, axis=1, keepdims=True) if query else self.norm
         x = x / scale
@@ -39,7 +44,7 @@ class Codes:
         return np.concatenate([x, rest], 1)
 
     def encode(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """Packed codes, a multiple of 8 bytes a row."""
+        """Packed codes, padded with zero bytes to a multiple of 8 a row for hamming()."""
         lifted = self._lifted(x, query)
         bits = np.concatenate([lifted @ r > 0 for r in self.rotations], 1)
         packed = np.packbits(bits, 1)
@@ -82,7 +87,7 @@ class Block:
     def _ball(self, reach: int) -> np.ndarray:
         """Substrings by values by bitmap: OR of the postings of all values within reach of the value."""
         if reach not in self.balls:
-            m = self.code.shape[1]
+            m = self.codes.substrings
             width = (len(self.ids) + 7) // 8
             out = np.zeros((m, 256, width), np.uint8)
             for s in range(m):
@@ -95,12 +100,17 @@ class Block:
             self.balls[reach] = out
         return self.balls[reach]
 
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows with a substring within radius // substrings of the code's: all within radius are among them."""
+        m = self.codes.substrings
+        ball = self._ball(min(8, radius // m))
+        return np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(ball[np.arange(m), code[:m]], axis=0), count=len(self.ids)))
+
     def search(self, own: int, q: np.ndarray, code: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the best rows but those of the query's own id. The radius grows until there are enough."""
-        m, radius = self.code.shape[1], self.codes.radius
+        m, radius = self.codes.substrings, self.codes.radius
         while True:
-            ball = self._ball(min(8, radius // m))
-            rows = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(ball[np.arange(m), code], axis=0), count=len(self.ids)))
+            rows = self.probed(code, radius)
             rows = rows[(hamming(self.code[rows], code) <= radius) & (self.ids[rows] != own)]
             if len(rows) >= near or radius >= 8 * m:
                 break

@@ -49,6 +49,22 @@ def test_search_odd_rows(spark):
     assert hashing_index.search(df.where("vec_id = 1"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_probing_filters_and_holds_all_within_radius():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 64))
+    x = centres[rng.integers(0, 20, 2000)] + 0.1 * rng.normal(size=(2000, 64))
+    codes = hashing_index.fit(x, float(np.linalg.norm(x, axis=1).max()))
+    block = hashing_index.Block(codes, np.arange(2000), x)
+    assert codes.substrings == 33 and block.code.shape[1] == 40
+    for code in codes.encode(x[:20], True):
+        for radius in (0, 20, 32, 33, 70):
+            got = set(block.probed(code, radius).tolist())
+            assert got >= set(np.flatnonzero(hashing_index.hamming(block.code, code) <= radius).tolist())
+            assert len(got) < 2000 or radius > 32
+            near = (hashing_index._NEAR[block.code[:, :33], code[:33]] <= radius // 33).any(1)
+            assert got == set(np.flatnonzero(near).tolist())
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     import random

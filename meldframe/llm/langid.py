@@ -147,23 +147,83 @@ class LanguageModel:
     langs: list[str]
     logp: np.ndarray
 
-    def likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihood of each text in each language, and its number of words. Each distinct word of the batch is scored once."""
+    def likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood of each text in each language, and its numbers of words and of characters in words. Each distinct word of the batch is scored once."""
         w = textvec.words([(t or "").lower() for t in texts], textvec.NOT_LETTERS, lower=False)
         _, one, of = np.unique(w.hash, return_index=True, return_inverse=True)
         each = forward(vocabulary(self.path), self.logp, w.buf, w.start[one], w.end[one])
         doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
-        return np.stack([np.bincount(doc, each[of, j], len(texts)) for j in range(len(self.langs))], 1), np.diff(w.first)
+        like = np.stack([np.bincount(doc, each[of, j], len(texts)) for j in range(len(self.langs))], 1)
+        before = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
+        return like, np.diff(w.first), np.bincount(doc, before[w.end] - before[w.start], len(texts))
 
     def predict(self, texts: list[str | None], words: int = 32) -> tuple[list[str], np.ndarray]:
         """Language and score of each text, as predict() below has them."""
+        return self.judge(texts, words)[:2]
+
+    def judge(self, texts: list[str | None], words: int = 32) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language and score of each text, the language's number, the text's log likelihood in that language per character of its words, and those characters."""
         some = np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
         if not self.langs or not some.any():
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        like, n = self.likelihoods(texts)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+        like, n, size = self.likelihoods(texts)
         best = like.argmax(1)
+        rate = like[np.arange(len(texts)), best] / np.maximum(size, 1)
         like = (like - like.max(1, keepdims=True)) * (np.minimum(n, words) / np.maximum(n, 1))[:, None]
-        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)], np.where(some, 1 / np.exp(like).sum(1), 0.0)
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)], np.where(some, 1 / np.exp(like).sum(1), 0.0), best, rate, size
+
+
+def _sampled(docs: DataFrame, sample: int, longest: int) -> tuple[list[str], DataFrame]:
+    """The languages and the training documents (lang, text)."""
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(id_crc() % 4 != 2).where(F.length("text") <= longest)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], known.select("lang", "text")
+    rates = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, sample / sizes[k]))))
+    unit = (F.xxhash64(F.lit(77), "doc_id").bitwiseAND(0xFFFFFF)) / float(1 << 24)
+    return sorted(sizes), known.where(unit < rates[F.col("lang")]).select("lang", "text")
+
+
+@dataclass
+class Limits:
+    """How far a text's log likelihood per character may lie under its language's mean: `most`, and for short texts, which vary more, `short` standard
+    deviations more. For each language mean and variance of a character."""
+
+    mean: np.ndarray
+    varies: np.ndarray
+    most: float
+    short: float = 8.0
+
+    def hold(self, best: np.ndarray, rate: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (size == 0) | (self.mean[best] - rate <= self.most + self.short * np.sqrt(self.varies[best] / np.maximum(size, 1)))
+
+
+def limits(docs: DataFrame, model: LanguageModel, sample: int = 400, longest: int = 20_000, margin: float = 3.0, share: float = 0.999) -> Limits:
+    """Learns from the training documents that train() takes what log likelihood per character texts of their languages have: a text may lie as far
+    under the mean as `margin` times what `share` of the longer half do. Without training documents every text holds."""
+    langs, picked = _sampled(docs, sample, longest)
+
+    def judged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(rows):
+            _, _, best, rate, size = model.judge(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_pydict({"best": best.astype(np.int64), "rate": rate, "size": size.astype(np.float64)})
+
+    n = max(1, len(langs))
+    out = Limits(np.zeros(n), np.ones(n), np.inf)
+    if not langs:
+        return out
+    small_batches(docs.sparkSession)
+    got = picked.mapInArrow(judged, "best long, rate double, size double").where("size > 0").toArrow()
+    best, rate, size = (got.column(c).to_numpy() for c in ("best", "rate", "size"))
+    for j in range(n):
+        r, s = rate[best == j], size[best == j]
+        if len(r):
+            out.mean[j] = (r * s).sum() / s.sum()
+            out.varies[j] = np.median((r - out.mean[j]) ** 2 * s) / 0.455  # the median of a squared standard normal
+    if len(rate):
+        long = size >= np.median(size)
+        out.most = margin * max(0.3, float(np.quantile((out.mean[best] - rate)[long], share)))
+    return out
 
 
 def train(docs: DataFrame, path: str, sample: int = 400, longest: int = 20_000, rounds: int = 4) -> LanguageModel:
@@ -172,16 +232,11 @@ def train(docs: DataFrame, path: str, sample: int = 400, longest: int = 20_000,
     Takes about `sample` such documents of each language, chosen by a hash of doc_id, of at most `longest` characters each (for
     training alone). Without labelled documents the model has no language and everything is unknown.
     """
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(id_crc() % 4 != 2).where(F.length("text") <= longest)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+    langs, picked = _sampled(docs, sample, longest)
     vocab = vocabulary(path)
     logp = np.full((vocab.size, len(langs)), -np.log(vocab.size))
     if not langs:
         return LanguageModel(path, langs, logp)
-    rates = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))))
-    unit = (F.xxhash64(F.lit(77), "doc_id").bitwiseAND(0xFFFFFF)) / float(1 << 24)
-    picked = known.where(unit < rates[F.col("lang")]).select("lang", "text")
 
     def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(rows):

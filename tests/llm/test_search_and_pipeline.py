@@ -88,3 +88,17 @@ def test_pipeline(spark, tmp_path):
     got = pipeline.run(spark, at)
     assert {r["doc_id"] for r in got.collect()} == set(range(120))
     assert got.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_pipeline_language_stage_rejects_other_text(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import random
+
+    rng = random.Random(5)
+    parts = {"en": ["the", "ing", "er", "on", "at"], "de": ["sch", "ein", "ung", "der", "ch"]}
+    text = lambda k, n: " ".join("".join(rng.choices(parts[k], k=2)) for _ in range(n))
+    rows = [(i, text(k, 3 if i % 10 == 0 else 50), k) for i in range(200) for k in [("en", "de")[i % 2]]]
+    noise = lambda n: "".join(rng.choices("bcdfgjkpqvwxz ", k=n))
+    rows += [(1000 + i, noise(300), None) for i in range(5)] + [(1100, "Все люди рождаются свободными и равными в своем достоинстве и правах", None), (1101, noise(60), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in pipeline.language(spark, docs, str(tmp_path)).collect()} == set(range(200))

@@ -3,7 +3,8 @@
 An item with an error budget of e is split into e + 1 pieces: wherever a text holds the item with at most e edits, one piece is
 there unchanged. All pieces are found by one Aho-Corasick pass; around each hit Myers' bit-parallel algorithm gives the
 smallest edit distance of the item to any span of the text. Both sides are compared as lower-cased UTF-8 with
-each run of ASCII other than letters and digits as one space, and edits count bytes of that.
+each run of ASCII other than letters and digits as one space, and edits count bytes of that. Short items have no budget and match between
+word boundaries alone.
 """
 
 from __future__ import annotations
@@ -63,13 +64,14 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
     return best, end
 
 
-def _matcher(items: list[tuple[int, str]], rate: float):
+def _matcher(items: list[tuple[int, str]], rate: float, least: int):
+    """The automaton of all pieces, and each item's error budget: -1 for one of under `least` bytes, whose only piece is the whole item."""
     import ahocorasick
 
     held: dict[str, list[tuple[int, int]]] = {}
-    errors = [int(len(t) * rate) for _, t in items]
+    errors = [int(len(t) * rate) if len(t) >= least else -1 for _, t in items]
     for i, (_, t) in enumerate(items):
-        for at, piece in pieces(t, errors[i]):
+        for at, piece in pieces(t, max(0, errors[i])):
             held.setdefault(piece, []).append((i, at))
     automaton = ahocorasick.Automaton()
     for piece, where in held.items():
@@ -91,6 +93,10 @@ def matches(texts: list[str | None], items: list[tuple[int, str]], automaton, er
             if best.get((doc, i), (1,))[0] == 0 or (doc, i, begin) in tried:
                 continue
             tried.add((doc, i, begin))
+            if e < 0:
+                if whole[begin - 1 : begin] in ("", " ", "\0") and whole[last + 1] in " \0":
+                    best[doc, i] = (0, last + 1, begin)
+                continue
             lo, hi = max(int(first[doc]), begin - e), min(int(first[doc + 1]) - 1, begin + len(items[i][1]) + e)
             if hi - lo < len(items[i][1]) - e:
                 continue
@@ -107,14 +113,14 @@ def matches(texts: list[str | None], items: list[tuple[int, str]], automaton, er
     return [(doc, i, d, start - int(first[doc]), end - int(first[doc])) for (doc, i), (d, end, start) in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, least: int = 24) -> Iterator[list[tuple[int | None, str]]]:
-    """The items (item_id, normalised text) of at least so many bytes, in blocks of a few MB."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The items (item_id, normalised text) that aren't empty, in blocks of a few MB."""
     sized = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
     count = int((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK) + 1
     for block in range(count):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
         items = sorted({(r["item_id"], normalized([r["text"]])[0][:-1].strip(" ")) for r in rows}, key=str)
-        items = [(k, t) for k, t in items if len(t) >= least]
+        items = [(k, t) for k, t in items if t]
         if items:
             yield items
 
@@ -127,14 +133,14 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least:
 
         def keep(texts: list[str | None]) -> np.ndarray:
             if not built:
-                built.extend(_matcher(items, rate))
+                built.extend(_matcher(items, rate, least))
             out = np.ones(len(texts), bool)
             out[[m[0] for m in matches(texts, items, *built)]] = False
             return out
 
         return keep
 
-    for items in item_blocks(benchmark, least):
+    for items in item_blocks(benchmark):
         docs = rows_where(docs, clean(items))
     return docs
 
@@ -143,7 +149,8 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int =
     """Benchmark items (item_id, text) found in docs (doc_id, text) with at most rate * length edits: doc_id, item_id, distance, and start and end
     in bytes of the normalised text, for the best match (least distance, then first) of each item in each document.
 
-    Null and empty texts match nothing, nor do items of under `least` normalised bytes. Equal items are found each; repeated rows of docs
+    Null and empty texts match nothing, nor do items without a letter or digit. Items of under `least` normalised bytes match as they are, at word
+    boundaries. Equal items are found each; repeated rows of docs
     give their matches each; a null doc_id is kept, as is a null item_id. Other columns are ignored. Texts are taken whole. Items are taken in blocks
     of bounded size, with one pass over docs for each, so that a benchmark may be of any size. Empty tables give no rows.
     """
@@ -151,10 +158,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int =
     small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     out = None
-    for items in item_blocks(benchmark, least):
+    for items in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            automaton, errors = _matcher(items, rate)
+            automaton, errors = _matcher(items, rate, least)
             for batch in bounded(batches):
                 found = matches(batch.column("text").to_pylist(), items, automaton, errors)
                 ids = batch.column("doc_id").to_pylist()

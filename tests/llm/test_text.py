@@ -327,6 +327,15 @@ def test_decontamination(spark, odd):
     assert decontaminate.find(odd, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(odd.limit(0), bench).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "Who?"), (3, "?!"), (4, "Où est-il ?")], "item_id long, text string")
+    texts = ["He asked: what is 2 + 2, again", "what is 2+22", "xwhat is 2+2?", "What is 2+2?", "whom who", "where is he", "où est il", "what is 2+3?", "", "swho"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    assert got == [(0, 1, 0, 9, 20), (3, 1, 0, 0, 11), (4, 2, 0, 5, 8), (6, 4, 0, 0, 10)]
+    assert {r["doc_id"] for r in decontaminate.clean_rows(docs, bench).collect()} == {1, 2, 5, 7, 8, 9}
+
+
 # licences
 
 

@@ -102,3 +102,15 @@ def test_pipeline_language_stage_rejects_other_text(spark, tmp_path):
     rows += [(1000 + i, noise(300), None) for i in range(5)] + [(1100, "Все люди рождаются свободными и равными в своем достоинстве и правах", None), (1101, noise(60), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in pipeline.language(spark, docs, str(tmp_path)).collect()} == set(range(200))
+
+
+def test_pipeline_dedup_leaves_one_of_repeated_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1), "b")] * 3 + [(1, text(1), "a"), (2, text(2), "a"), (3, text(2), "a"), (3, text(2), "a")]
+    rows += [(None, text(4), "a")] * 2 + [(None, text(5), "a"), (None, None, "a"), (6, None, "a"), (7, "", "a"), (8, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = pipeline.dedup(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    want = [(1, text(1), "a"), (2, text(2), "a"), (None, text(4), "a"), (None, text(5), "a"), (None, None, "a"), (6, None, "a"), (7, "", "a"), (8, "", "a")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

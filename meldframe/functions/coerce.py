@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ SPARK_TYPES = {"string": "string", "bytes": "binary", "int": "bigint", "float":
 # Texts that are read as booleans.
 TRUE_TEXTS = ["1", "t", "T", "TRUE", "true", "True"]
 FALSE_TEXTS = ["0", "f", "F", "FALSE", "false", "False"]
-_INT = r"^[+-]?[0-9]+$"
-_FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_INT = r"^[+-]?[0-9]+\z"
+_FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _EPOCH_UNITS = [(10**18, 1_000_000_000), (10**15, 1_000_000), (10**12, 1_000)]
 
 
@@ -83,8 +85,28 @@ def stored(c: Column, to: str) -> Column:
     return F.encode(text, "utf-8")
 
 
+@dataclass(frozen=True)
+class ElementType:
+    """A type of elements of sets and lists beside the six: how Python values become bytes, and bytes a column."""
+
+    to_bytes: Callable[[object], bytes]
+    from_bytes: Callable[[Column], Column]
+
+
+#: Element types by the names that schemas use.
+ELEMENTS: dict[str, ElementType] = {}
+
+
+def register_element(name: str, to_bytes: Callable[[object], bytes], from_bytes: Callable[[Column], Column]) -> None:
+    if name in SPARK_TYPES:
+        raise ValueError(f"{name} is a type already")
+    ELEMENTS[name] = ElementType(to_bytes, from_bytes)
+
+
 def loaded(c: Column, to: str) -> Column:
     """The typed value of stored bytes; null if they aren't one."""
+    if to in ELEMENTS:
+        return ELEMENTS[to].from_bytes(c)
     return c if to == "bytes" else coerced(F.decode(c, "utf-8"), "string", to)
 
 
@@ -116,13 +138,13 @@ def literal(value: object, to: str) -> object:
             raise bad
         if isinstance(value, float) and math.isfinite(value):
             value = math.trunc(value)
-        if isinstance(value, str) and re.fullmatch(_INT, value):
+        if isinstance(value, str) and re.fullmatch(_INT[1:-2], value):
             value = int(value)
         if isinstance(value, int) and -(2**63) <= value < 2**63:
             return value
         raise bad
     if to == "float":
-        if isinstance(value, str) and re.fullmatch(_FLOAT, value):
+        if isinstance(value, str) and re.fullmatch(_FLOAT[1:-2], value):
             value = float(value)
         if not isinstance(value, bool) and isinstance(value, int | float) and math.isfinite(value):
             return float(value)

@@ -6,13 +6,14 @@ share the first four hexadecimal digits of their key; each further level groups
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 4
-ROW_TAG, NODE_TAG = b"\x00", b"\x01"
+ROW_TAG, NODE_TAG = "00", "01"
 
 
 def row_digests(atoms: DataFrame, columns: Sequence[str], pk: str = "pk") -> DataFrame:
@@ -22,13 +23,13 @@ def row_digests(atoms: DataFrame, columns: Sequence[str], pk: str = "pk") -> Dat
 
 
 def _hash_of(parts: Column) -> Column:
-    """SHA-256 of an array of byte strings in a row."""
-    return F.sha2(F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)), 256)
+    """SHA-256 of an array of byte strings (hex) in a row: joined once, so that the cost is that of their length."""
+    return F.sha2(F.unhex(F.array_join(parts, "")), 256)
 
 
 def leaves(rows: DataFrame) -> DataFrame:
     """rows: key (hex, in key order), digest (hex). Gives level, prefix, hash of the leaves: SHA-256 of 00, key and digest of each row in key order."""
-    one = F.struct("key", F.concat(F.lit(ROW_TAG), F.unhex("key"), F.unhex("digest")).alias("bytes"))
+    one = F.struct("key", F.concat(F.lit(ROW_TAG), "key", "digest").alias("bytes"))
     of = rows.groupBy(F.substring("key", 1, DEPTH).alias("prefix")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
     return of.select(F.lit(DEPTH).alias("level"), "prefix", _hash_of(F.transform("rows", lambda r: r["bytes"])).alias("hash"))
 
@@ -36,7 +37,7 @@ def leaves(rows: DataFrame) -> DataFrame:
 def parents(nodes: DataFrame) -> DataFrame:
     """The level above: SHA-256 of 01, digit and hash of each child in order of digits; at most 16 children each."""
     digit = F.substring("prefix", -1, 1)
-    one = F.struct(digit.alias("digit"), F.concat(F.lit(NODE_TAG), F.encode(digit, "utf-8"), F.unhex("hash")).alias("bytes"))
+    one = F.struct(digit.alias("digit"), F.concat(F.lit(NODE_TAG), F.hex(digit), "hash").alias("bytes"))
     up = nodes.select((F.col("level") - 1).alias("level"), F.expr("substring(prefix, 1, length(prefix) - 1)").alias("prefix"), one.alias("c"))
     of = up.groupBy("level", "prefix").agg(F.sort_array(F.collect_list("c")).alias("c"))
     return of.select("level", "prefix", _hash_of(F.transform("c", lambda c: c["bytes"])).alias("hash"))
@@ -44,15 +45,38 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 def tree(rows: DataFrame) -> DataFrame:
     """All levels, leaves to root. An empty table has no nodes; root() is then the empty text."""
-    levels = [leaves(rows)]
+    return above(leaves(rows))
+
+
+def stored_tree(rows: DataFrame, folder: str) -> DataFrame:
+    """tree(), its leaves written to the folder first: the four levels above are made of these few rows (16**DEPTH at most), not of all rows again,
+    and so is what is done with the tree."""
+    spark = rows.sparkSession
+    at = f"{folder}/leaves-{uuid.uuid4().hex}"
+    leaves(rows).write.parquet(at)
+    return above(spark.read.parquet(at))
+
+
+def above(level: DataFrame) -> DataFrame:
+    """Leaves with all the levels above them. Few rows: 16**DEPTH leaves at most, so that each level is one small aggregation of the one below."""
+    out = level
     for _ in range(DEPTH):
-        levels.append(parents(levels[-1]))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        level = parents(level)
+        out = out.unionByName(level)
     return out
 
 
+def node(nodes: DataFrame, prefix: str) -> str:
+    """A node's hash; the empty text if there is none."""
+    row = nodes.where((F.col("level") == len(prefix)) & (F.col("prefix") == prefix)).first()
+    return row["hash"] if row else ""
+
+
+def leaf_rows(rows: DataFrame, prefix: str) -> DataFrame:
+    """The rows (key, digest) of one leaf in key order."""
+    return rows.where(F.col("key").startswith(prefix)).select("key", "digest").orderBy("key")
+
+
 def root(nodes: DataFrame) -> str:
     row = nodes.where("level = 0").first()
     return row["hash"] if row else ""

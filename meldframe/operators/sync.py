@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from ..functions import hlc
 from .lattice import merge_row
 
 # Limits of the protocol.
-OFFLINE_MILLIS, CLOCK_GAP_MILLIS, HEARTBEAT_MILLIS = 60_000, 5_000, 5_000
+OFFLINE_MILLIS, CLOCK_GAP_MILLIS = 60_000, 5_000
 SAFETY_MILLIS = 30_000
 INLINE_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 CHUNK_EXPIRY_MILLIS = 5 * 60_000
@@ -50,6 +53,12 @@ def floor_gate(peer: Column, local: Column) -> Column:
     return F.when(peer == local, "pass").when(peer > local, "full_sync").otherwise("block")
 
 
+def floor_action(peer: int, local: int) -> str:
+    """floor_gate() of two numbers; 0 and less is no floor yet."""
+    peer, local = max(peer, 0), max(local, 0)
+    return "pass" if peer == local else "full_sync" if peer > local else "block"
+
+
 def rejoin(offline_millis: Column, clock_lag_millis: Column, offline: int = OFFLINE_MILLIS, gap: int = CLOCK_GAP_MILLIS) -> Column:
     """full_sync after a long absence or with a clock far behind, else clock_update. 0 turns a rule off."""
     far = F.lit(False)
@@ -82,6 +91,64 @@ def chunk_plan(files: DataFrame, inline: int = INLINE_BYTES, chunk: int = CHUNK_
     return each.select("path", "chunk", "chunks", at.alias("offset"), length.alias("length"), "hash")
 
 
+def assembled(chunks: DataFrame) -> DataFrame:
+    """path and content of files from their chunks (path, chunk, chunks, bytes, size, hash) in any order; a repeated chunk counts once. A file with a chunk
+    missing, or whose size or hash is wrong, raises when the result is read. A file's chunks must fit into one value, as its content does."""
+    one = chunks.groupBy("path", "chunk").agg(F.min(F.struct("bytes", "chunks", "size", "hash")).alias("c"))
+    of = one.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("chunk", "c.bytes"))).alias("parts"), F.min("c.chunks").alias("chunks"), F.min("c.size").alias("size"), F.min("c.hash").alias("hash"))
+    content = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), ""))
+    got = of.select("path", "size", "hash", (F.size("parts") == F.col("chunks")).alias("whole"), content.alias("content"))
+    sound = F.col("whole") & (F.octet_length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("hash"))
+    return got.select("path", F.when(sound, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("broken file "), F.col("path")))).alias("content"))
+
+
+@dataclass
+class _Coming:
+    chunks: int
+    size: int
+    hash: str
+    parts: list[bytes] = field(default_factory=list)
+    millis: int = 0
+
+
+@dataclass
+class ChunkReceiver:
+    """Files that peers send chunk by chunk: in strict order, within `expiry` of the chunk before. What breaks a rule is dropped, and is an error."""
+
+    expiry: int = CHUNK_EXPIRY_MILLIS
+    coming: dict[tuple[str, str], _Coming] = field(default_factory=dict)
+
+    def accept(self, peer: str, path: str, chunk: int, chunks: int, data: bytes, sha256: str, size: int, now: int | None = None) -> bytes | None:
+        """The whole file after its last chunk, None before."""
+        now = time.time_ns() // 1_000_000 if now is None else now
+        for k in [k for k, c in self.coming.items() if now - c.millis > self.expiry]:
+            del self.coming[k]
+        if chunk == 0:
+            self.coming[peer, path] = _Coming(chunks, size, sha256)
+        c = self.coming.get((peer, path))
+        if c is None or chunk != len(c.parts) or (c.chunks, c.size, c.hash) != (chunks, size, sha256) or sum(map(len, c.parts)) + len(data) > size:
+            self.coming.pop((peer, path), None)
+            raise ValueError(f"chunk {chunk} of {path} doesn't follow, or is of another file")
+        c.parts.append(data)
+        c.millis = now
+        if len(c.parts) < chunks:
+            return None
+        del self.coming[peer, path]
+        whole = b"".join(c.parts)
+        if len(whole) != size or hashlib.sha256(whole).hexdigest() != sha256:
+            raise ValueError(f"{path} arrived with another size or hash")
+        return whole
+
+
+def messages(sent: DataFrame) -> DataFrame:
+    """Rows with some of a message's fields as whole messages; those of an unknown kind raise when the result is read."""
+    have = {c.lower() for c in sent.columns}
+    empty = sent.sparkSession.createDataFrame([], ENVELOPE)
+    out = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields]
+    known = F.col("kind").isin(MESSAGES)
+    return sent.select(*out).withColumn("kind", F.when(known, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.col("kind")))))
+
+
 def file_metadata(files: DataFrame) -> DataFrame:
     """One row for each path of files (path, hash, size); a path with different contents raises when the result is read."""
     same = (F.min("hash") == F.max("hash")) & (F.min("size") == F.max("size"))

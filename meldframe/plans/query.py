@@ -158,5 +158,9 @@ class Query:
         return [s.join(found, "pk", "left_semi") for s in states]
 
 
-def query(table: DataFrame, schema: TableSchema) -> Query:
-    return Query(table, schema)
+def index_entries(wide: DataFrame, schema: TableSchema, index: Index) -> DataFrame:
+    """An index's columns and pk, of the rows that have all of them, in the index's order: strings and bytes by length first, then pk."""
+    keys: list[SparkColumn] = []
+    for c in index.columns:
+        keys += shortlex(F.col(c)) if schema.column(c).type in ("string", "bytes") else [F.col(c)]
+    return wide.select(*index.columns, "pk").dropna(subset=list(index.columns)).orderBy(*keys, "pk")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from ..functions.coerce import SPARK_TYPES
+from ..functions.coerce import ELEMENTS, SPARK_TYPES
 
 # The types of columns by how replicas are merged.
 MERGE_TYPES = ["lww", "counter", "orset", "rga", "file"]
@@ -62,7 +62,7 @@ def checked(t: TableSchema) -> TableSchema:
     columns = []
     for c, n in zip(t.columns, _names("column", [c.name for c in t.columns]), strict=True):
         kind, crdt = c.type.strip() or "string", c.crdt.strip() or "lww"
-        if kind not in SPARK_TYPES:
+        if kind not in SPARK_TYPES and not (kind in ELEMENTS and crdt in ("orset", "rga")):
             raise ValueError(f"column {n}: {kind} is not one of {', '.join(SPARK_TYPES)}")
         if crdt not in MERGE_TYPES:
             raise ValueError(f"column {n}: {crdt} is not one of {', '.join(MERGE_TYPES)}")

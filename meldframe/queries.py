@@ -132,13 +132,6 @@ def int_literal_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.find().select("l_orderkey", "l_linenumber", F.col("quantity_int").alias("quantity"))
 
 
-@registered("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey > 10)")
-def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    key = orders.where("o_custkey > 10").agg(F.min("o_orderkey")).first()[0]
-    return orders.where(F.col("o_orderkey") == key).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-
-
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS pk, o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) >= '5' AND o_orderkey % 10 = 5")
 def contains_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pk"), "o_orderkey", F.array((F.col("o_orderkey") % 10).cast("string")).alias("digits"))

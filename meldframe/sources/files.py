@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
-import shutil
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folder import Folder
+
 
 def checked_path(path: str) -> str:
     """The path in canonical form; ValueError if it is empty, absolute, leads out of the folder or has a colon."""
@@ -35,7 +37,8 @@ def is_bad_path(c: Column) -> Column:
 def read_all(spark: SparkSession, folder: str) -> DataFrame:
     """path (within the folder), content, size and hash of all its files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.element_at(F.split(F.col("path"), F.lit(f"{folder.rstrip('/')}/"), 2), -1)
+    root = F.lit(f"{folder.rstrip('/')}/")
+    path = F.substring(F.col("path"), F.instr("path", root) + F.length(root), F.length("path"))
     return files.select(path.alias("path"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
 
 
@@ -47,31 +50,30 @@ def read_at(files: DataFrame, offset: int, length: int) -> DataFrame:
 
 
 class Import:
-    """A file on its way into a folder: staged and hashed, then promoted, or undone."""
-
-    def __init__(self, folder: str, local: str, relative: str) -> None:
-        self.path = checked_path(relative)
-        self.target = Path(folder) / self.path
-        self.staged = Path(folder) / ".staged" / hashlib.sha256(f"{self.path}\0{local}".encode()).hexdigest()
-        self.staged.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copyfile(local, self.staged)
-        self.size = self.staged.stat().st_size
-        with self.staged.open("rb") as f:
+    """A file of the driver's machine on its way into a folder: staged and hashed, then promoted, or undone."""
+
+    def __init__(self, folder: Folder, local: str, relative: str) -> None:
+        self.folder, self.path = folder, checked_path(relative)
+        self.staged, self.old = (f".staged/{uuid.uuid4().hex}{end}" for end in ("", ".old"))
+        with open(local, "rb") as f:
             self.hash = hashlib.file_digest(f, "sha256").hexdigest()
-        self._old: Path | None = None
+        self.size = folder.take(os.path.abspath(local), self.staged)
 
     def promote(self) -> Callable[[], None]:
         """Puts the file in place; the result puts back what was there."""
-        self.target.parent.mkdir(parents=True, exist_ok=True)
-        if self.target.exists():
-            self._old = self.staged.with_suffix(".old")
-            self.target.rename(self._old)
-        self.staged.rename(self.target)
+        if self.folder.exists(self.path):
+            self.folder.move(self.path, self.old)
+        else:
+            self.folder.make(posixpath.dirname(self.path))
+        self.folder.move(self.staged, self.path)
         return self.undo
 
     def undo(self) -> None:
-        self.staged.unlink(missing_ok=True)
-        if self._old and self._old.exists():
-            self._old.replace(self.target)
+        if self.folder.exists(self.old):
+            self.folder.move(self.old, self.path, True)
         else:
-            self.target.unlink(missing_ok=True)
+            self.folder.remove(self.path)
+
+    def forget(self) -> None:
+        """Deletes what was there before, once the import is committed."""
+        self.folder.remove(self.old)

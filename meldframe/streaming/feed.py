@@ -64,6 +64,19 @@ def merge_stream(log: DataFrame, kind: str, read: Callable[[], DataFrame | None]
     return (out.trigger(availableNow=True) if once else out).start()
 
 
+def merge_into(log: DataFrame, table, kinds: Sequence[str], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Merges the log's operations of some kinds into a database's table: each batch appends one segment of each kind, so that its cost follows the
+    batch and not the state, and tags and tombstones of one log are applied together. A repeated batch changes nothing."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        rows = rows.where(F.col("tbl") == table.schema.name).persist()  # one read of the files for all kinds
+        table.merge({k: atoms(rows, k) for k in kinds}, peer="log")
+        rows.unpersist()
+
+    out = log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
+
 def progress(query: StreamingQuery) -> dict[str, float]:
     """Rows and rates of the last batch."""
     last = query.lastProgress or {}

@@ -1,17 +1,19 @@
 """Token ids as files of arithmetic-coded blocks.
 
-An id is four hexadecimal digits, coded from the top one. The counts of the digit in three contexts (the digits before it alone, with the
-last id, with the last two ids: orders 0 to 2) are mixed, each weighted by how well that order has predicted so far, and drive a range
-coder. All starts anew in each block, and each has checksums of its bytes and ids, so that a block is read, or found broken, alone.
-Many blocks are coded in step as numpy arrays: a step codes one digit of each.
-
-A file is a Parquet part of block records. A document over `LENGTH` ids has several blocks; a block may have many documents.
+Three predictions of the coming id are mixed: the id that last followed the last two ids (order 2), the one that last followed the last id
+(order 1), each with a count of how well it has held, and the block's own distribution of ids (order 0). Their weights are learnt for every
+pair of counts. An id is coded as the order-2 candidate, the order-1 candidate, an id of the distribution, or as new to it, and is then put
+down as it is after the coded words. A range coder takes these choices. What a block learns takes effect at its next place (every `STRIDE`
+ids, more often at first), so that between two places the encoder has all choices of all blocks as arrays, and the decoder only reads tables. All starts anew in each block, and each has checksums of its bytes and ids, so that a block is read, or found broken, alone. Many
+blocks are coded in step: a step is a few numpy operations for one id of each.
+
+A file is a Parquet part of block records. A long document has several blocks; a block may have many documents.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,155 +23,239 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import bounded, small_batches, stored
 
-#: Ids in a block at most, rows of counts for each order, and blocks coded in step.
-LENGTH, ROWS, TOGETHER = 4096, 1 << 10, 2048
-_TOP = 1 << 48
+#: Ids in a block at least and at most, blocks coded in step, and ids between places.
+SHORTEST, LONGEST, TOGETHER, STRIDE = 1 << 12, 1 << 15, 384, 64
+#: Bits of a candidate's weight and of the slots of an order-0 distribution.
+_WEIGHT, _SLOTS = 12, 13
+_TOP, _LOW, _NEW = 1 << 48, 1 << 32, 1 << 16
+#: Slots of the tables of order 1 and 2, and what the distribution and a candidate weigh at least.
+_ROWS, _LEAST_REST, _LEAST = (1 << 12, 1 << 14), 96, 8
+#: By the counts of order 2 and 1: outcomes as if seen before for order 2, order 1 and neither.
+_PRIOR = np.array([[1 + 3 * two, 1 + 2 * one, 8] for two in range(4) for one in range(4)], np.int64)
 BLOCKS = "part int, block long, doc_ids array<long>, pieces array<int>, lengths array<int>, n_ids int, ids_crc long, payload binary, payload_crc long"
 
 
 class _Model:
-    """Counts and weights of some blocks, and the coming digit's frequencies."""
+    """Candidates and weights of some blocks side by side. Arrays of ids are places by blocks."""
 
     def __init__(self, n: int) -> None:
-        self.counts = [np.zeros((n * ROWS, 16), np.uint16) for _ in range(3)]
-        self.weights = np.full((3, n), 4, np.uint16)
-        self.base = np.arange(n, dtype=np.int64) * ROWS
-        self.last = np.zeros((2, n), np.int64)
-
-    def begin(self, k: int) -> None:
-        """Contexts of the coming ids of the first k blocks."""
-        one = self.last[0, :k] * 0x9E3779B1
-        self.context = [np.zeros(k, np.int64), one, one * 5 + self.last[1, :k] * 0x85EBCA77 + 0x3C6EF372]
-        self.sofar = np.zeros(k, np.int64)
-
-    def frequencies(self, k: int, place: int) -> np.ndarray:
-        """Cumulative frequencies of the 16 digits, below 2**16 in all: 15 * 62 * 3 * 16 + 16."""
-        self.rows, self.held = [], []
-        seed = (self.sofar + (place + 1)) * 0x27D4EB2F
-        total = np.ones((k, 16), np.uint16)
-        for order in range(3):
-            h = (seed + self.context[order]) & 0xFFFFFFFFFFF
-            h ^= h >> 17
-            row = self.base[:k] + (((h * 0x2545F491) >> 20) & (ROWS - 1))
-            held = self.counts[order].take(row, 0)
-            self.rows.append(row)
-            self.held.append(held)
-            total += held * self.weights[order, :k, None]
-        self.mixed = total.ravel()
-        sums = total
-        for hop in (1, 2, 4, 8):
-            more = sums.copy()
-            more[:, hop:] += sums[:, :-hop]
-            sums = more
-        return sums
-
-    def learn(self, k: int, digit: np.ndarray, whole: np.ndarray, freq: np.ndarray, weigh: bool) -> None:
-        """Counts the digit; if weigh, orders that gave it more than the mixture did gain weight and the others lose some."""
-        at = np.arange(0, 16 * k, 16) + digit
-        for order in range(3):
-            row, held = self.rows[order], self.held[order]
-            seen = held.ravel().take(at)
-            if weigh:
-                size = held.sum(1, dtype=np.int64)
-                w = self.weights[order, :k]
-                np.clip(w + np.where(size > 0, np.where(seen * whole > freq * size, 1, -1), 0), 1, 15, out=w, casting="unsafe")
-            if seen.max(initial=0) >= 60:
-                self.counts[order][row[seen >= 60]] >>= 1
-            self.counts[order].ravel()[row * 16 + digit] += 2
-        self.sofar = self.sofar * 16 + digit + 1
-
-    def end(self, k: int, ids: np.ndarray) -> None:
-        self.last[1, :k] = self.last[0, :k]
-        self.last[0, :k] = ids + 1
+        self.tables = [np.zeros(n * rows, np.int32) for rows in _ROWS]
+        self.base = [np.arange(n, dtype=np.int64) * rows for rows in _ROWS]
+        self.lane = np.arange(n, dtype=np.int64) * 16
+        self.seen = np.tile(_PRIOR, (n, 1))
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Ends of the ranges of both candidates for each pair of counts, in 1 << _WEIGHT."""
+        share = (self.seen[:, :2] << _WEIGHT) // self.seen.sum(1, keepdims=True)
+        first = np.clip(share[:, 0], _LEAST, (1 << _WEIGHT) - _LEAST_REST - _LEAST)
+        second = np.clip(first + share[:, 1], first + _LEAST, (1 << _WEIGHT) - _LEAST_REST)
+        self.ends = first << 16 | second
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        """After the ids one and, before it, two: the entries of order 2 (candidate << 4 | count << 2) and 1 (candidate << 4 | count), their slots, the
+        row of weights, and its end of the first << 16 | end of the second."""
+        k = one.shape[-1]
+        at_one = (one & (_ROWS[0] - 1)) + self.base[0][:k]
+        at_two = ((one ^ (two << 5)) & (_ROWS[1] - 1)) + self.base[1][:k]
+        held_one, held_two = self.tables[0].take(at_one), self.tables[1].take(at_two)
+        row = ((held_one | held_two) & 15) + self.lane[:k]
+        return held_two, held_one, at_two, at_one, row, self.ends.take(row)
+
+    def learn(self, ids: np.ndarray, active: np.ndarray, two: np.ndarray, one: np.ndarray, at_two: np.ndarray, at_one: np.ndarray, row: np.ndarray, *_: np.ndarray) -> None:
+        """Takes in the ids (places by blocks, those from active on in a place are none) for which predict() gave the rest."""
+        ids = ids.astype(np.int32)
+        by_two, by_one = (two >> 4) == ids, (one >> 4) == ids
+        outcome = row * 3 + 2
+        outcome -= by_one
+        np.copyto(outcome, row * 3, where=by_two)
+        pick = slice(None) if active[-1] == ids.shape[1] else np.arange(ids.shape[1]) < active[:, None]
+        self.seen += np.bincount(outcome[pick].ravel(), minlength=self.seen.size).reshape(-1, 3) * 4
+        self.seen = np.where(self.seen.sum(1, keepdims=True) > 4000, (self.seen + 1) >> 1, self.seen)
+        self._weigh()
+        for table, at, held, good, unit in ((self.tables[0], at_one, one, by_one, 1), (self.tables[1], at_two, two, by_two, 4)):
+            count = held & 3 * unit
+            new = held - unit
+            np.copyto(new, ids << 4, where=count == 0)
+            np.copyto(new, held + unit * (count < 3 * unit), where=good)
+            table[at[pick]] = new[pick]
+
+
+def _places(most: int) -> list[tuple[int, int, bool]]:
+    """Begin and end of each stretch, and whether the distribution is made anew before it."""
+    at = [x for x in [0, *(1 << i for i in range(4, STRIDE.bit_length() - 1)), *range(STRIDE, max(most, STRIDE + 1), STRIDE)] if x < most]
+    made, out = 0, []
+    for s, e in zip(at, [*at[1:], most], strict=True):
+        anew = s == 0 or s >= made + max(32, made // 2)
+        made = s if anew else made
+        out.append((s, e, anew))
+    return out
+
+
+def _distribution(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From a block's ids so far: the symbols, their slots (1 << _SLOTS in all) and where these begin. The last symbol, _NEW, is any other id: so are
+    the seldom ones of more than half as many symbols as slots."""
+    whole = 1 << _SLOTS
+    count = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(count > 0)
+    count = count[symbols]
+    new = whole * (int((count == 1).sum()) + 1) // (len(ids) + 2)  # an id is new as often as those seen once are
+    if len(symbols) > whole // 2:
+        best = np.sort(np.argsort(-count, kind="stable")[: whole // 2])
+        symbols, count = symbols[best], count[best]
+    room = whole - len(symbols) - min(whole // 2, max(16, new))
+    size = np.append(1 + count * room // max(1, int(count.sum())), 0)
+    size[-1] = whole - int(size.sum())
+    return np.append(symbols, _NEW), size, np.cumsum(size) - size
+
+
+def _lanes(sizes: list[int]) -> tuple[list[int], np.ndarray, int, np.ndarray]:
+    """Blocks by falling size, these sizes, the greatest, and how many blocks have an id at each place."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    size = np.array([sizes[i] for i in order], np.int64)
+    most = int(size[0]) if len(size) else 0
+    return order, size, most, np.searchsorted(-size, -np.arange(most), "left")
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One payload for each block of ids below 2**16, none empty."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    size = np.array([len(blocks[i]) for i in order])
-    n, most = len(blocks), int(size[0]) if len(blocks) else 0
-    ids = np.zeros((most, n), np.int64)
+    """One payload for each block of ids below 2**16, none empty: the number of coded words, these, and the new ids."""
+    order, size, most, active = _lanes([len(b) for b in blocks])
+    n = len(blocks)
+    ids = np.zeros((most + 2, n), np.uint16)  # two zeros come before
     for j, i in enumerate(order):
-        ids[: size[j], j] = blocks[i]
-    active = np.searchsorted(-size, -np.arange(most), "left")
+        ids[2 : size[j] + 2, j] = blocks[i]
     model = _Model(n)
     low, width = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
-    words = np.zeros((4 * most + 4, n), np.int32)
-    held = np.zeros(n, np.int64)
-    for t in range(most):
-        k = int(active[t])
-        model.begin(k)
-        for place in range(4):
-            digit = (ids[t, :k] >> (12 - 4 * place)) & 15
-            sums = model.frequencies(k, place)
-            at = np.arange(0, 16 * k, 16) + digit
-            whole, high = sums[:, 15].astype(np.int64), sums.ravel().take(at).astype(np.int64)
-            step = width[:k] // whole
-            freq = model.mixed.take(at).astype(np.int64)
-            low[:k] += step * (high - freq)
-            width[:k] = step * freq
-            out = np.flatnonzero(width[:k] < 1 << 32)
-            if len(out):
-                words[held[out], out] = low[out] >> 32
-                held[out] += 1
-                low[out] = (low[out] & 0xFFFFFFFF) << 16
-                width[out] <<= 16
-            model.learn(k, digit, whole, freq, t % 4 == 0)
-        model.end(k, ids[t, :k])
-    at = np.arange(n)
+    words, held = np.zeros((2 * STRIDE + 8, n), np.int32), np.zeros(n, np.int64)
+    table, new_at, plain, made = np.empty(1 << 16, np.int32), np.zeros(n, np.int64), [], 0
+    places = _places(most)
+    for i, (begin, end, anew) in enumerate(places):
+        some = int(active[begin])
+        if anew:  # first slot << 14 | slots of all ids until the distribution is made anew again
+            made, until = begin, next((p for p, _, again in places[i + 1 :] if again), most)
+            sofar, coming = np.ascontiguousarray(ids[2 : begin + 2, :some].T), np.ascontiguousarray(ids[begin + 2 : until + 2, :some].T)
+            code = np.empty((until - begin, some), np.int32)
+            for j in range(some):
+                symbols, slots, first = _distribution(sofar[j])
+                table[:] = first[-1] << 14 | slots[-1]
+                table[symbols[:-1]] = (first << 14 | slots)[:-1]
+                new_at[j] = first[-1]
+                code[:, j] = table.take(coming[j])
+        now, one, two = (ids[begin + d : end + d, :some].astype(np.int64) for d in (2, 1, 0))
+        told = model.predict(one, two)
+        upto_a, upto_b = told[-1] >> 16, told[-1] & 0xFFFF
+        is_a = (told[0] >> 4) == now
+        is_b = ((told[1] >> 4) == now) & ~is_a
+        rest, slot = (1 << _WEIGHT) - upto_b, code[begin - made : end - made, :some]
+        start, part = (upto_b << _SLOTS) + rest * (slot >> 14), rest * (slot & 0x3FFF)
+        for which, s, p in ((is_b, upto_a, upto_b - upto_a), (is_a, 0, upto_a)):
+            np.copyto(start, s << _SLOTS, where=which)
+            np.copyto(part, p << _SLOTS, where=which)
+        new = ((slot >> 14) == new_at[:some]) & ~is_a & ~is_b & (np.arange(some) < active[begin:end, None])
+        lane, at = np.nonzero(new.T)
+        plain.append((lane, now[at, lane]))
+        for t in range(end - begin):
+            k = int(active[begin + t])
+            w = width[:k]
+            step = w >> (_WEIGHT + _SLOTS)
+            low[:k] += step * start[t, :k]
+            np.multiply(step, part[t, :k], out=w)
+            small = np.flatnonzero(w < _LOW)
+            while len(small):  # 16 bits of these blocks go out
+                top, to = low[small], held[small]
+                words[to, small] = top >> 32
+                held[small] = to + 1
+                low[small] = (top & (_LOW - 1)) << 16
+                wide = w[small] << 16
+                w[small] = wide
+                small = small[wide < _LOW]
+        model.learn(now, active[begin:end], *told)
+        if int(held.max()) + 2 * STRIDE + 8 > len(words):
+            words = np.concatenate([words, np.zeros((len(words) // 4 + 2 * STRIDE, n), np.int32)])
     for shift in (32, 16, 0):
-        words[held, at] = (low >> shift) & 0xFFFF if shift < 32 else low >> 32
+        words[held, np.arange(n)] = (low >> shift) & 0xFFFF if shift < 32 else low >> 32
         held += 1
-    for i in range(len(words) - 1, 0, -1):  # carries go to the word before
+    for i in range(int(held.max(initial=1)) - 1, 0, -1):  # carries go to the word before
         words[i - 1] += words[i] >> 16
         words[i] &= 0xFFFF
+    lane, fresh = (np.concatenate([p[j] for p in plain] or [np.zeros(0, np.int64)]) for j in (0, 1))
+    fresh = np.split(fresh[np.argsort(lane, kind="stable")], np.cumsum(np.bincount(lane, minlength=n))[:-1]) if n else []
     out: list[bytes] = [b""] * n
     for j, i in enumerate(order):
-        out[i] = words[: held[j], j].astype("<u2").tobytes()
+        out[i] = int(held[j]).to_bytes(4, "little") + words[: held[j], j].astype("<u2").tobytes() + fresh[j].astype("<u2").tobytes()
     return out
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(payloads)), key=lambda i: -sizes[i])
-    size = np.array([sizes[i] for i in order])
-    n, most = len(payloads), int(size[0]) if payloads else 0
-    raw = [np.frombuffer(payloads[i], "<u2") for i in order]
-    words = np.zeros((n, max((len(r) for r in raw), default=0) + 2), np.int64)
-    for j, r in enumerate(raw):
-        words[j, : len(r)] = r
-    active = np.searchsorted(-size, -np.arange(most), "left")
+    order, size, most, active = _lanes(sizes)
+    n = len(payloads)
+    raw = [np.frombuffer(payloads[i], "<u2", offset=4) for i in order]
+    begins = np.cumsum([0, *(len(r) + 4 for r in raw)])
+    words = np.zeros(int(begins[-1]) + 4, np.uint16)
+    for r, s in zip(raw, begins, strict=False):
+        words[s : s + len(r)] = r
+    coded = np.array([int.from_bytes(payloads[i][:4], "little") for i in order], np.int64)
+    at, last = begins[:-1].copy(), begins[1:] - 1
+    fresh_at = np.minimum(at + coded, last)
     model = _Model(n)
-    code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2] if n else np.zeros(0, np.int64)
-    width, read = np.full(n, _TOP - 1, np.int64), np.full(n, 3, np.int64)
-    ids = np.zeros((most, n), np.int64)
-    for t in range(most):
-        k = int(active[t])
-        model.begin(k)
-        got = np.zeros(k, np.int64)
-        for place in range(4):
-            sums = model.frequencies(k, place)
-            whole = sums[:, 15].astype(np.int64)
-            step = width[:k] // whole
-            value = np.minimum(code[:k] // step, whole - 1).astype(np.uint16)
-            digit = np.count_nonzero(sums <= value[:, None], axis=1)
-            at = np.arange(0, 16 * k, 16) + digit
-            freq = model.mixed.take(at).astype(np.int64)
-            code[:k] -= step * (sums.ravel().take(at).astype(np.int64) - freq)
-            width[:k] = step * freq
-            more = np.flatnonzero(width[:k] < 1 << 32)
-            if len(more):
-                code[more] = (code[more] << 16) | words[more, np.minimum(read[more], words.shape[1] - 1)]
-                read[more] += 1
-                width[more] <<= 16
-            model.learn(k, digit, whole, freq, t % 4 == 0)
-            got = got * 16 + digit
-        ids[t, :k] = got
-        model.end(k, got)
+    code, width = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
+    for _ in range(3):
+        code = code << 16 | words[at]
+        at += 1
+    ids = np.zeros((most + 2, n), np.int64)
+    base, flat = np.arange(n, dtype=np.int64) << _SLOTS, np.empty(n << _SLOTS, np.int64)
+    for begin, end, anew in _places(most):
+        some = int(active[begin])
+        if anew:
+            sofar = np.ascontiguousarray(ids[2 : begin + 2, :some].T)
+            for j in range(some):
+                symbols, slots, first = _distribution(sofar[j])
+                flat[j << _SLOTS : j + 1 << _SLOTS] = np.repeat(symbols << 32 | first << 16 | slots, slots)
+        told = [np.zeros((end - begin, some), x) for x in (np.int32, np.int32, np.int64, np.int64, np.int64)]
+        for t in range(begin, end):
+            k = int(active[t])
+            one = model.predict(ids[t + 1, :k], ids[t, :k])
+            for all_of, of in zip(told, one, strict=False):
+                all_of[t - begin, :k] = of
+            ends, c, w = one[-1], code[:k], width[:k]
+            step = w >> (_WEIGHT + _SLOTS)
+            q = c // step
+            upto_b = ends & 0xFFFF
+            rest = (1 << _WEIGHT) - upto_b
+            upto_b <<= _SLOTS
+            # as if none were a candidate; floats divide numbers of so few bits exactly
+            got = flat.take(base[:k] + (((q - upto_b) / rest).astype(np.int64) & ((1 << _SLOTS) - 1)))
+            start, part, now = upto_b + rest * ((got >> 16) & 0xFFFF), rest * (got & 0xFFFF), got >> 32
+            hit = np.flatnonzero(q < upto_b)
+            if len(hit):
+                upto_a = ends[hit] >> 16 << _SLOTS
+                is_a = q[hit] < upto_a
+                start[hit] = np.where(is_a, 0, upto_a)
+                part[hit] = np.where(is_a, upto_a, upto_b[hit] - upto_a)
+                now[hit] = np.where(is_a, one[0][hit], one[1][hit]) >> 4
+            fresh = np.flatnonzero(now == _NEW)
+            if len(fresh):
+                place = fresh_at[fresh]
+                now[fresh] = words[place]
+                fresh_at[fresh] = np.minimum(place + 1, last[fresh])
+            c -= step * start
+            np.multiply(step, part, out=w)
+            small = np.flatnonzero(w < _LOW)
+            while len(small):
+                place = at[small]
+                c[small] = c[small] << 16 | words[place]
+                at[small] = np.minimum(place + 1, last[small])
+                wide = w[small] << 16
+                w[small] = wide
+                small = small[wide < _LOW]
+            ids[t + 2, :k] = now
+        model.learn(ids[begin + 2 : end + 2, :some], active[begin:end], *told)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for j, i in enumerate(order):
-        out[i] = ids[: size[j], j].copy()
+        out[i] = ids[2 : size[j] + 2, j].copy()
     return out
 
 
@@ -213,15 +299,9 @@ def joined_crc(a: int, b: int, n: int) -> int:
 
 class Tokenizer:
     """The library's ids. Texts of ASCII and Latin letters without an added token are cut as the byte-level pattern cuts them and each distinct
-    cut is encoded once; all others are encoded whole."""
-
-    # The byte-level pattern for texts of these characters.
-    SAFE = re.compile("[^\t-\r -~À-ÖØ-öø-ſ]")
-    CUT = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ſ0-9]+|\\s+(?!\\S)|\\s+")
-
-    def __init__(self, path: str, cached: int = 300_000) -> None:
-        import json
+    cut is encoded once; all others are encoded whole. Cuts are known by their 64-bit hashes; at most `cached` are kept."""
 
+    def __init__(self, path: str, cached: int = 400_000) -> None:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
@@ -231,33 +311,106 @@ class Tokenizer:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any("\n" in t for t in self.added)
         (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.cache: dict[str, np.ndarray] = {}
         self.cached = cached
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.store, self.first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _learn(self, cuts: set[str]) -> None:
-        """Encodes new cuts. Those without a line break go as the lines of one text, whose breaks are cuts, and so ids, of their own."""
+    def _learn(self, cuts: list[str]) -> None:
+        """Encodes new cuts, to be numbered on. Those without a line break go as the lines of one text, whose breaks are cuts, and so ids, of their own."""
         lines = [c for c in cuts if not c.isspace()]
+        ids, parts = np.zeros(0, np.int64), []
         if lines:
             ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int64)
-            edges = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
-            for c, s, e in zip(lines, edges[:-1], edges[1:], strict=True):
-                self.cache[c] = ids[s + 1 : e].copy()
+        edges = iter([*np.flatnonzero(ids == self.line_break).tolist(), len(ids)])
+        at = 0
         for c in cuts:
             if c.isspace():
-                self.cache[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, np.int64)
+                parts.append(np.array(self.library.encode(c, add_special_tokens=False).ids, np.int64))
+            else:
+                end = next(edges)
+                parts.append(ids[at:end])
+                at = end + 1
+        if parts:
+            self.store = np.concatenate([self.store, *parts]).astype(np.uint16)
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(p) for p in parts])])
 
     def encode(self, texts: list[str | None], end: int = 0) -> list[np.ndarray]:
-        whole = ["" if t is None else t for t in texts]
-        parts = [self.CUT.findall(t) if self.cuts and not self.SAFE.search(t) and not any(a in t for a in self.added) else None for t in whole]
-        new = {c for p in parts if p for c in p if c not in self.cache}
-        if len(self.cache) + len(new) > self.cached:
-            self.cache = {}
-            new = {c for p in parts if p for c in p}
+        """The ids of each text with the end id."""
+        ids, n = self.flat(texts, end)
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+
+    def flat(self, texts: list[str | None], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after the other, and their numbers."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        whole = np.array([not self.cuts or any(a in (t or "") for a in self.added) for t in texts], bool) | ~latin(raw)
+        buf, start, stop, last = cut([b"" if w else r for r, w in zip(raw, whole, strict=True)])
+        keys, one, of = np.unique(textvec.span_hash(textvec.prefix_sums(buf), start, stop), return_index=True, return_inverse=True)
+        if len(self.known) + len(keys) > self.cached:
+            self._forget()
+        said, number, new = buf.tobytes(), [], []
+        for key, s, e in zip(keys.tolist(), start[one].tolist(), stop[one].tolist(), strict=True):
+            at = self.known.get(key)
+            if at is None:
+                at = self.known[key] = len(self.known)
+                new.append(said[s:e].decode())
+            number.append(at)
         self._learn(new)
-        others = [t for t, p in zip(whole, parts, strict=True) if p is None]
-        coded = iter(self.library.encode_batch(others, add_special_tokens=False))
-        stop = np.array([end])
-        return [np.concatenate([*(self.cache[c] for c in p), stop]) if p is not None else np.append(np.array(next(coded).ids, np.int64), stop) for p in parts]
+        at = np.array(number, np.int64)[of] if number else np.zeros(0, np.int64)
+        size = self.first[at + 1] - self.first[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        n = np.diff(upto[last], prepend=0)
+        ids = self.store[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])]
+        others = iter(self.library.encode_batch([t or "" for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
+        if whole.any():
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            parts = [np.array(next(others).ids, np.uint16) if w else p for p, w in zip(parts, whole, strict=True)]
+            ids, n = np.concatenate([*parts, np.zeros(0, np.uint16)]), np.array([len(p) for p in parts], np.int64)
+        return np.insert(ids, np.cumsum(n), end), n + 1
+
+
+def latin(raw: list[bytes]) -> np.ndarray:
+    """Whether each text has only ASCII that is printed or space, and the letters from U+00C0 to U+017F."""
+    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    lead = (buf >= 0xC3) & (buf <= 0xC5)
+    ok = (buf >= 9) & (buf <= 13) | (buf >= 32) & (buf < 127) | (buf >= 0x80) & (buf < 0xC0) | lead
+    ok[1:] &= ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))  # the signs of multiplication and division
+    ok[1:] &= ~((buf[1:] >= 0x80) & (buf[1:] < 0xC0) & ~lead[:-1])  # a letter of another lead byte
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    bad = np.concatenate([[0], np.cumsum(~ok)])
+    return bad[ends] == bad[np.concatenate([[0], ends[:-1]])] if raw else np.zeros(0, bool)
+
+
+def cut(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts as the byte-level pattern does: 's 't 're 've 'm 'll 'd, runs of letters, digits or other signs with a space before them, white space
+    but its last character before something else. Texts must be latin(). Gives all bytes, where cuts begin and end, and how many come up to each text's end."""
+    buf = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+    kind = _KIND[buf]
+    edge = np.ones(len(buf) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    after = np.append(kind[1:], 0)
+    # the last white space before something else stands alone, and a space goes with what follows
+    tail = (kind == _SPACE) & (after != _SPACE) & (after != 0)
+    edge[:-1][tail] = True
+    spaced = np.flatnonzero(tail & (buf == 32))
+    edge[spaced + 1] = False
+    # contractions, where a cut begins with the apostrophe
+    for p in np.flatnonzero((buf == 39) & edge[:-1] & (after == _LETTER)).tolist():
+        long = buf[p + 1 : p + 3].tobytes()
+        n = 1 if long[:1] in (b"s", b"t", b"m", b"d") else 2 if long in (b"re", b"ve", b"ll") else 0
+        if n:
+            edge[p + 1], edge[p + 1 + n] = False, True
+    at = np.flatnonzero(edge)
+    real = kind[at[:-1]] != 0
+    ends = np.cumsum([len(r) + 1 for r in raw]) - 1
+    return buf, at[:-1][real], at[1:][real], np.searchsorted(at[:-1][real], ends)
+
+
+_SPACE, _LETTER = 1, 2
+#: 0 ends a text; bytes over 127 are of letters here.
+_KIND = np.array([0 if b == 0 else _SPACE if b == 32 or 9 <= b <= 13 else _LETTER if b > 127 or chr(b).isalpha() else 3 if chr(b).isdigit() else 4 for b in range(256)], np.uint8)
 
 
 @lru_cache(maxsize=1)
@@ -269,62 +422,70 @@ def tokenizer_of(path: str) -> Tokenizer:
 
 def _write(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, part) of one part in order: its block records in order."""
-    tokenizer, number = tokenizer_of(path), 0
-    wait: list[tuple[list[tuple[int | None, int]], list[np.ndarray]]] = []
-    fill: tuple[list[tuple[int | None, int]], list[np.ndarray]] = ([], [])
-    size, part = 0, 0
-
-    def records() -> pa.RecordBatch:
-        nonlocal number, wait
-        ids = [np.concatenate(c) for _, c in wait]
-        payloads = encode_blocks(ids)
+    tokenizer, number, part = tokenizer_of(path), 0, 0
+    ids: list[np.ndarray] = []  # not yet coded
+    docs: list[tuple[int | None, int, int]] = []  # their documents: id, pieces before, ids left
+    held = 0
+
+    def records(length: int, most: int) -> pa.RecordBatch:
+        """The next blocks, at most so many."""
+        nonlocal ids, docs, number, held
+        flat = np.concatenate(ids)
+        blocks = [flat[s : s + length] for s in range(0, min(len(flat), length * most), length)]
+        ids = [flat[sum(map(len, blocks)) :].copy()]
+        held = len(ids[0])
+        of, at = [], 0
+        for b in blocks:
+            room, own = len(b), []
+            while room:
+                doc, piece, left = docs[at]
+                n = min(room, left)
+                own.append((doc, piece, n))
+                room -= n
+                docs[at] = (doc, piece + 1, left - n)
+                at += left == n
+            of.append(own)
+        del docs[:at]
+        payloads = encode_blocks(blocks)
+        column = lambda i, kind: pa.array([[d[i] for d in own] for own in of], pa.list_(kind))
         batch = pa.RecordBatch.from_arrays([
-            pa.array([part] * len(wait), pa.int32()), pa.array(range(number, number + len(wait)), pa.int64()),
-            pa.array([[d for d, _ in docs] for docs, _ in wait], pa.list_(pa.int64())), pa.array([[p for _, p in docs] for docs, _ in wait], pa.list_(pa.int32())),
-            pa.array([[len(c) for c in cs] for _, cs in wait], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int32()), pa.array([crc(i) for i in ids], pa.int64()),
+            pa.array([part] * len(of), pa.int32()), pa.array(range(number, number + len(of)), pa.int64()), column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32()),
+            pa.array([len(b) for b in blocks], pa.int32()), pa.array([crc(b) for b in blocks], pa.int64()),
             pa.array(payloads, pa.binary()), pa.array([zlib.crc32(p) for p in payloads], pa.int64()),
         ], names=[x.split()[0] for x in BLOCKS.split(", ")])
-        number += len(wait)
-        wait = []
+        number += len(of)
         return batch
 
     for batch in bounded(rows):
         if not batch.num_rows:
             continue
         part = batch.column("part")[0].as_py()
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text").to_pylist()), strict=True):
-            for piece, at in enumerate(range(0, len(ids), LENGTH)):
-                chunk = ids[at : at + LENGTH]
-                if size + len(chunk) > LENGTH:
-                    wait.append(fill)
-                    fill, size = ([], []), 0
-                fill[0].append((doc, piece))
-                fill[1].append(chunk)
-                size += len(chunk)
-            while len(wait) >= TOGETHER:
-                yield records()
-    if size:
-        wait.append(fill)
-    if wait:
-        yield records()
+        coded, sizes = tokenizer.flat(batch.column("text").to_pylist())
+        ids.append(coded)
+        held += len(coded)
+        docs.extend((d, 0, n) for d, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True))
+        while held >= LONGEST * TOGETHER:
+            yield records(LONGEST, TOGETHER)
+    if held:
+        yield records(min(LONGEST, max(SHORTEST, -(-held // TOGETHER))), 2 * TOGETHER * LONGEST)
 
 
 def write(docs: DataFrame, path: str, name: str = "ids") -> DataFrame:
     """Encodes docs (doc_id, text) with the tokenizer of that file, an id 0 after each, writes the block files in ascending doc_id order into the
     shared folder, and gives the table of block records that reads them.
 
-    Null and empty texts are the end id alone; null ids come first; rows of one id stay together in no set order. Texts are taken whole.
+    Null and empty texts are the end id alone; null ids come first; rows of one id stay together in no set order. Texts are taken whole. Other
+    columns are ignored; no rows give no blocks. Parts are ranges of doc_id, as many as Spark deems right for their size.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    parts = rows.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "doc_id")
-    parts = parts.sortWithinPartitions("doc_id").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", "text", F.spark_partition_id().alias("part"))
     return stored(parts.mapInArrow(lambda it: _write(it, path), BLOCKS), name)
 
 
 def read(blocks: DataFrame) -> DataFrame:
-    """Decodes and checks block records: doc_id, part, block, piece, seq (place in the block), ids. A wrong checksum raises."""
+    """Decodes and checks block records: doc_id, part, block, piece, seq (place in the block), ids. A wrong checksum raises; no blocks give no rows. A
+    document's pieces in the order of part, block and seq are its ids; documents of equal or null ids follow one another, each from its piece 0 on."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -348,7 +509,8 @@ def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
 
 
 def digests(blocks: DataFrame) -> DataFrame:
-    """From the files, per document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32."""
+    """From the files, per document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32. Repeated rows and null ids have a row each; no
+    blocks give no rows; a wrong checksum raises."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one under /tmp only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset one under /tmp if all runs on this machine, else an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "/tmp/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -29,7 +31,17 @@ def stored(df: DataFrame, name: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meldframe/{name}-{uuid.uuid4().hex}"
     (df.repartition(*keys) if keys else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote, when nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
@@ -56,11 +68,10 @@ def id_crc(col: str = "doc_id") -> Column:
 
 
 def hashed_sample(df: DataFrame, n: int, total: int, key: str) -> DataFrame:
-    """About n of total rows, chosen by a hash of key: the same rows on every run, and never more than 1.5 n."""
-    if total <= n:
-        return df.limit(math.ceil(1.5 * n))
-    cut = int(n / total * 2**32)
-    return df.where(F.xxhash64(F.lit(77), key).bitwiseAND(0xFFFFFFFF) < cut).limit(math.ceil(1.5 * n))
+    """The n of total rows with the least hashes of key: the same on every run and however the rows are parted. A sieve leaves about 1.5 n to sort."""
+    hashed = F.xxhash64(F.lit(77), key).bitwiseAND(0xFFFFFFFF)
+    cut = 2**32 if total <= 1.5 * n else math.ceil((1.5 * n + 100) / total * 2**32)
+    return df.withColumn("_hash", hashed).where(F.col("_hash") < cut).orderBy("_hash", key).limit(n).drop("_hash")
 
 
 def rows_where(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
@@ -74,9 +85,10 @@ def rows_where(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray])
     return docs.mapInArrow(run, docs.schema)
 
 
-def few(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (of a number or two each); else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df, to be broadcast if its values have so many bytes at most; else as it is, to be shuffled."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(16 if t.startswith("decimal") else 8) for c, t in df.dtypes), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,11 +13,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: each hangs the neighbours of a node on the smallest one,
     so a hub of any degree costs its degree, and rounds grow with the logarithm of the size of a component.
-    Null ends and links of a node with itself are ignored; without links the result is empty.
+    The result is a table in the shared folder; those of the rounds are gone. Null ends and links of a node with itself are ignored; without links the result is empty.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    if edges.isEmpty():
+        none = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        none.stored_at = edges.stored_at
+        return none
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +29,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.*").where("u <> v").distinct(), "edges")
+        before, edges = edges, stored(small.select("e.*").where("u <> v").distinct(), "edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -33,4 +38,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+    out = stored(nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()), "merge")
+    discard(edges)
+    return out

@@ -2,29 +2,41 @@
 
 1. Each text becomes the set of 64-bit hashes of its word shingles. Texts with equal sets form a class; only one
    document of each class goes on, so that thousands of copies cost as much as one.
-2. The bottom-k sketch keeps the k smallest hashes. Inverted lists are kept for runs of two neighbouring retained
-   values among the first `indexed`: two sets over the threshold share one but for a chance of about 0.51**indexed,
-   while texts with one common passage rarely do.
-3. Lists yield candidate pairs. First each list's members meet one hub, whatever the length of the list; links found so make components, and lists that lie within one component are done. In the others the overlaps
-   of all sketches from different components are counted within the task, so that only close pairs leave it.
-4. The overlap of two sketches within the smallest k values of their union estimates the similarity; what is more than
-   five standard deviations below the threshold goes. For the others the full sets are compared.
+2. The bottom-k sketch keeps the upper 31 bits of the k smallest hashes. Inverted lists are kept for runs of `RUN` neighbouring retained values
+   among the first `indexed`, and for runs of two of sets of under `SMALL`. Two sets of up to `indexed` shingles over the threshold always share a
+   run (`indexed` being under k); larger ones but for a chance of about 0.70**indexed (tests/llm counts misses). Texts with one common passage rarely do.
+3. Lists generate overlaps. First each list's members meet one hub, whatever the length of the list; links found so make components, and
+   lists that lie within one component are done. In the others the overlaps of all sketches from different components are counted within the task; a
+   long list is cut into blocks by set size, and each pair of blocks whose sizes can match is a group of its own. The overlap of two sketches within
+   the smallest k values of their union estimates the similarity; what is more than five standard deviations below the threshold goes.
+4. What leaves a group is trees, not pairs: those of pairs estimated over the threshold are links if the full sets confirm them. Trees of all pairs make
+   clusters; within those that aren't one component by then full sets are compared, again in blocks and with trees as the result. Full sets are made for the documents that
+   occur in such pairs alone.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import bounded, few, small_batches, stored
+from .common import bounded, discard, few, small_batches, stored
 from .components import components
 
+#: Neighbouring values in a run; sets of fewer shingles than SMALL have runs of two, those of LARGE and more runs of RUN. Both kinds overlap, so that
+#: sets that can be linked share a kind: with one shingle of difference in a union under 10 only runs of two are sure to be common.
+RUN, SMALL, LARGE = 3, 10, 8
+#: Fewer shingles than these have no other set that near.
+LEAST = 4
+#: Members of a list that are compared in one group.
+BLOCK = 512
+
 
 def _signature(rows: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in bounded(rows):
@@ -32,208 +44,257 @@ def _signature(rows: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.Re
         size = np.array([len(s) for s in sets], np.int64)
         a = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
         b = np.array([textvec.mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _arrays([s[:k] for s in sets])],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
-        )
+        sketch = _arrays([(s[:k] >> np.uint64(33)).astype(np.int32) for s in sets])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), sketch], names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
 
 
 def _arrays(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=ends[1:])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
 def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in bounded(rows):
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), _arrays(textvec.shingle_sets(batch.column("text").to_pylist(), n))], names=["node", "items"]
-        )
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _arrays([s.view(np.int64) for s in textvec.shingle_sets(batch.column("text").to_pylist(), n)])], names=["node", "items"])
 
 
-def _smallest_of_union(a: Column, b: Column, k: int) -> Column:
-    """The smallest k of both. Hashes are unsigned, so the sign bit is flipped to sort them."""
-    flip = lambda x: x.bitwiseXOR(F.lit(-(2**63)))
-    return F.transform(F.slice(F.array_sort(F.transform(F.array_union(a, b), flip)), 1, k), flip)
+def run_keys(sketch: Column, n: Column, indexed: int) -> Column:
+    """The keys of a set's runs: its list memberships."""
 
+    def runs(size: int) -> Column:
+        at = F.sequence(F.lit(1), F.least(F.size(sketch) - (size - 1), F.lit(indexed)))
 
-def confirmed(pairs: DataFrame, sets: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those linked: the estimate from the union of the bottom-k sketches first, then the full sets."""
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    x, y = F.slice("a_items", 1, k), F.slice("b_items", 1, k)
-    union = _smallest_of_union(x, y, k)
-    both = F.size(F.array_intersect(F.array_intersect(x, y), union))
-    size = F.size("a_items") + F.size("b_items") - both
-    part = F.greatest(F.lit(0.0), (size - F.size(union)) / F.greatest(size - 1, F.lit(1)))
-    low = F.size(union) * threshold - 5 * F.sqrt(threshold * (1 - threshold) * F.size(union) * part) - 1e-3
-    shared = F.size(F.array_intersect("a_items", "b_items"))
-    exact = 100 * shared >= round(100 * threshold) * (F.size("a_items") + F.size("b_items") - shared)
-    return met.where(both >= low).where(exact).select(*pairs.columns)
+        def key(i: Column) -> Column:
+            values = [F.element_at(sketch, i + j).cast("long") for j in range(size)]
+            if size == 2:
+                return F.bitwise_not(F.shiftleft(values[0], 33).bitwiseXOR(F.shiftleft(values[1], 1)))
+            return F.shiftleft(values[0], 33).bitwiseXOR(F.shiftleft(values[1], 16)).bitwiseXOR(values[2])
+
+        return F.transform(at, key)
 
+    return F.when(n < LARGE, runs(2)).when(n < SMALL, F.concat(runs(2), runs(RUN))).otherwise(runs(RUN))
+
+
+def _least(threshold: float, union, size, root=np.sqrt, most=np.maximum, least=np.minimum):
+    """The overlap within the smallest `union` values below which a pair is ruled out: five standard deviations of a draw without replacement from about
+    `size` values at the threshold. For arrays, and for columns with their functions."""
+    part = least(most((size - union) / most(size - 1, 1), 0), 1)
+    return union * threshold - 5 * root(threshold * (1 - threshold) * most(union, 1) * part) - 1e-3
+
+
+def estimated(pairs: DataFrame, heads: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Of the pairs (a, b), those that the union of their bottom-k sketches doesn't rule out."""
+    of = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
+    both = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    low = _least(threshold, F.size(union), F.col("a_n") + F.col("b_n") - both, F.sqrt, lambda x, y: F.greatest(lit(x), lit(y)), lambda x, y: F.least(lit(x), lit(y)))
+    return met.where(both >= low).select(*pairs.columns)
 
-def _hub_order(turn: int) -> Column:
-    """Another member of each list comes first in each turn: the smallest node, then by a hash."""
-    return F.struct((F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("order"), "node", "n", "component")
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    """Full sets (node, items) of nodes, stored: made of their texts. repeated: an id may have several texts, which are a row each."""
+    wanted = few(nodes)
+    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text")
+    return stored((texts.dropDuplicates() if repeated else texts).mapInArrow(lambda it: _sets(it, shingle), "node long, items array<long>"), "sets")
 
-def _close(rows: Iterator[pa.RecordBatch], k: int, indexed: int, threshold: float, block: int = 512) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, band): pairs of each list between different components whose sketches, or whole sets, overlap enough.
 
-    The overlaps of a list are products of its 0-1 matrix (members by values held more than once) with itself, in blocks.
-    A pair that shares several lists leaves the one with the smallest key only.
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those linked, by full sets (node, items)."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
+    shared = F.size(F.array_intersect("a_items", "b_items"))
+    exact = 100 * shared >= round(100 * threshold) * (F.size("a_items") + F.size("b_items") - shared)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(exact).select(*pairs.columns)
+
+
+def _incidence(row: np.ndarray, value: np.ndarray, members: int) -> Iterator[np.ndarray]:
+    """0-1 matrices, members by values that more than one holds, one slice of bounded size at a time."""
+    _, value, times = np.unique(value, return_inverse=True, return_counts=True)
+    again = times > 1
+    keep = again[value]
+    row, column, total = row[keep], (np.cumsum(again) - 1)[value[keep]], int(again.sum())
+    width = max(1, 2**21 // max(1, members))
+    for c in range(0, total, width):
+        part = (column >= c) & (column < c + width)
+        m = np.zeros((members, min(width, total - c)), np.float32)
+        m[row[part], column[part] - c] = 1
+        yield m
+
+
+def _forest(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of the heaviest trees that connect what the symmetric matrix connects; -inf is no edge, and one of +inf is not given."""
+    n = len(weight)
+    best, parent, left = np.full(n, -np.inf), np.full(n, -1), np.ones(n, bool)
+    out = []
+    for _ in range(n):
+        v = int(np.argmax(np.where(left, best, -np.inf)))
+        if best[v] == -np.inf or not left[v]:
+            v = int(np.argmax(left))  # another tree begins
+        elif best[v] < np.inf:
+            out.append((int(parent[v]), v))
+        left[v] = False
+        better = left & (weight[v] > best)
+        best[better], parent[better] = weight[v][better], v
+    return out
+
+
+def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j), with sketches, or if exact with whole sets, as items: of each group the pairs between different components that are
+    near enough, as trees, fewer than it has members: what they connect is what all such pairs connect. In a group of two blocks a pair has a member
+    of each. sure: the estimate is over the threshold, or the sets are whole and so is their similarity; these trees also use what is connected already.
+    The other trees are of all pairs but those of whole sets, and touch every member of such a pair: an estimate may be wrong either way.
+
+    The overlaps are products of the group's 0-1 matrix (members by values held more than once) with itself.
     """
-    names = ["a", "ca", "b", "cb"]
-
-    def incidence(row: np.ndarray, value: np.ndarray, members: int) -> list[np.ndarray]:
-        """0-1 matrices, members by values that more than one holds, in slices of bounded size."""
-        _, value, times = np.unique(value, return_inverse=True, return_counts=True)
-        again = times > 1
-        keep = again[value]
-        row, column, total = row[keep], (np.cumsum(again) - 1)[value[keep]], int(again.sum())
-        width = max(1, 2**22 // members)
-        out = []
-        for c in range(0, total, width):
-            part = (column >= c) & (column < c + width)
-            m = np.zeros((members, min(width, total - c)), np.float32)
-            m[row[part], column[part] - c] = 1
-            out.append(m)
-        return out
+    names = ["a", "ca", "b", "cb", "sure"]
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "component"))
-        own = np.flatnonzero(t.column("own").to_numpy())
-        if len(node) < 2 or not len(own) or (comp == comp[0]).all():
+        node, n, comp, side = (t.column(c).to_numpy() for c in ("node", "n", "component", "side"))
+        if len(node) < 2 or (comp == comp[0]).all():
             return
         lists = t.column("items").combine_chunks()
         held, value = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-        row, rank = np.repeat(np.arange(len(node)), held), np.arange(len(value)) - np.repeat(np.cumsum(held) - held, held)
-        whole = bool((held == n).all())
-        run = np.flatnonzero((rank[:-1] < indexed) & (row[1:] == row[:-1]))
-        key = run_key(value[run], value[run + 1])
-        before = key < t.column("key")[0].as_py()
-        earlier = incidence(row[run[before]], key[before], len(node))
-        matrices = incidence(row, value, len(node))
-        for i in range(0, len(own), block):
-            mine = own[i : i + block]
-            both = sum((m[mine] @ m.T for m in matrices), np.zeros((len(mine), len(node)), np.float32))
-            union = held[mine][:, None] + held[None, :] - both
-            if whole:
-                ok = 100 * both >= round(100 * threshold) * union
-            else:
-                ok = both >= _least(threshold, np.minimum(k, union), n[mine][:, None] + n[None, :] - both)
-            ok &= comp[mine][:, None] != comp[None, :]
-            ok &= 100 * np.minimum(n[mine][:, None], n[None, :]) >= round(100 * threshold) * np.maximum(n[mine][:, None], n[None, :])
-            for m in earlier if ok.any() else ():
-                ok &= m[mine] @ m.T == 0  # the list of an earlier key has this pair too
-            x, y = np.nonzero(ok)
-            x = mine[x]
-            swap = node[x] > node[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], comp[x], node[y], comp[y])], names=names)
+        n = held.astype(np.int64) if exact else n  # an id may have several sets
+        both = np.zeros((len(node), len(node)), np.float32)
+        for m in _incidence(np.repeat(np.arange(len(node)), held), value, len(node)):
+            both += m @ m.T
+        union = held[:, None] + held[None, :] - both
+        other = comp[:, None] != comp[None, :]
+        ok = other & (100 * np.minimum(n[:, None], n[None, :]) >= round(100 * threshold) * np.maximum(n[:, None], n[None, :]))
+        if side.any():
+            ok &= side[:, None] != side[None, :]
+        whole = (held == n)[:, None] & (held == n)[None, :]
+        ok &= np.where(whole, 100 * both >= round(100 * threshold) * union, both >= _least(threshold, np.minimum(k, union), n[:, None] + n[None, :] - both))
+        if not ok.any():
+            return
+        sure = ok & (whole | (both >= threshold * np.minimum(k, union)))
+        # what is certain hangs on the smallest nodes, so that many groups have the same trees; else the nearest come first
+        rank = np.argsort(np.argsort(node, kind="stable"), kind="stable")
+        star = 2 - np.minimum(rank[:, None], rank[None, :]) / len(node)
+        near = np.where(whole, star, both / np.maximum(np.minimum(k, union), 1))
+        for which, weight, inside in ((sure, near, np.inf), (ok & ~whole, star, -np.inf)):
+            if which.any():
+                edges = np.array(_forest(np.where(which, weight, np.where(other, -np.inf, inside))), np.int64).reshape(-1, 2)
+                x, y = node[edges[:, 0]], node[edges[:, 1]]
+                cx, cy, swap = comp[edges[:, 0]], comp[edges[:, 1]], x > y
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.where(swap, y, x), np.where(swap, cy, cx), np.where(swap, x, y), np.where(swap, cx, cy), np.full(len(x), inside > 0))], names=names)
 
     rest: pa.Table | None = None
     for batch in rows:
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        key, band = t.column("key").to_numpy(), t.column("band").to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1])) + 1
-        bounds = [0, *cuts.tolist()]
+        if not t.num_rows:
+            continue
+        group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+        bounds = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist()]
         for s, e in zip(bounds, bounds[1:], strict=False):
             yield from pairs(t.slice(s, e - s).combine_chunks())
         rest = t.slice(bounds[-1])
-    if rest is not None:
+    if rest is not None and rest.num_rows:
         yield from pairs(rest.combine_chunks())
 
 
-def _least(threshold: float, union: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The overlap within the smallest `union` values below which a pair is ruled out: five standard deviations of a draw without
-    replacement from about `size` values at the threshold."""
-    part = np.clip((size - union) / np.maximum(size - 1, 1), 0, 1)
-    return union * threshold - 5 * np.sqrt(threshold * (1 - threshold) * np.maximum(union, 1) * part) - 1e-3
-
-
-def run_key(first, second):
-    """Key of two neighbouring retained values: the first with the second turned by a bit. For columns and arrays of signed 64-bit numbers."""
-    if isinstance(first, Column):
-        return first.bitwiseXOR(F.shiftleft(second, 1).bitwiseOR(F.shiftrightunsigned(second, 63)))
-    second = second.view(np.uint64)
-    return first ^ ((second << np.uint64(1)) | (second >> np.uint64(63))).view(np.int64)
-
-
-def _candidates(lists: DataFrame, sets: DataFrame, k: int, indexed: int, threshold: float) -> DataFrame:
-    """Pairs of lists (key, node, n, component): each list falls into bands of like size, a band being compared with itself and the next.
-    Bands of sets of up to 4 k values are compared by the sets, the others by their bottom-k sketches."""
-    step = math.log(1 / threshold)
-    band = F.floor(F.log("n") / step).cast("long")
-    spread = lists.select("key", "node", "n", "component", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("e"))
-    spread = spread.select("key", "node", "n", "component", "e.*")
-    several = spread.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
-    spread = spread.join(several.select("key", "band"), ["key", "band"]).join(sets, "node")
-    items = F.when((F.col("band") + 2) * step <= math.log(4 * k), F.col("items")).otherwise(F.slice("items", 1, k)).alias("items")
-    dealt = spread.select("key", "band", "own", "node", "n", "component", items).repartition("key", "band").sortWithinPartitions("key", "band")
-    return dealt.mapInArrow(lambda it: _close(it, k, indexed, threshold), "a long, ca long, b long, cb long")
-
-
-def _merged(df: DataFrame, merge: DataFrame) -> DataFrame:
+def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: int, exact: bool) -> DataFrame:
+    """What _close() finds in lists (key, node, n, component) with items (node, items): lists of up to `block` members are a group each; longer ones are cut
+    into blocks by set size, and blocks meet in twos, with themselves too, if their sizes can match and their components aren't all the same."""
+    per = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    lists = stored(lists.select("key", "node", "n", "component").join(per, "key"), "open")
+    every = lists.where(F.col("members") <= block).select("key", "node", "n", "component", *(F.lit(0).alias(c) for c in ("i", "j", "side")))
+    long = lists.where(F.col("members") > block)
+    if not long.isEmpty():
+        place = F.row_number().over(W.partitionBy("key").orderBy("n", "node"))
+        long = long.select("key", "node", "n", "component", F.floor((place - 1) / block).cast("int").alias("i"))
+        blocks = long.groupBy("key", "i").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        other = blocks.select("key", F.col("i").alias("j"), F.col("least").alias("least2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        met = blocks.join(other, "key").where("i <= j").where(100 * F.col("most") >= round(100 * threshold) * F.col("least2"))
+        met = met.where(F.least("lo", "lo2") < F.greatest("hi", "hi2")).select("key", "i", "j")
+        every = every.unionByName(long.join(met, ["key", "i"]).withColumn("side", F.lit(0)))
+        every = every.unionByName(long.withColumnRenamed("i", "j").join(met.where("i < j"), ["key", "j"]).withColumn("side", F.lit(1)))
+    dealt = every.join(items, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = stored(dealt.mapInArrow(lambda it: _close(it, k, threshold, exact), "a long, ca long, b long, cb long, sure boolean").distinct(), "close")
+    discard(lists)
+    return found
+
+
+def _merged(df: DataFrame, merge: DataFrame, column: str = "component") -> DataFrame:
     """df with its components replaced by those that merge (node, component) puts them into."""
-    to = merge.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-    return df.join(to, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
+    to = merge.select(F.col("node").alias(column), F.col("component").alias("_to"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 128, indexed: int = 32, hubs: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 128, indexed: int = 64, block: int = BLOCK) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    component_id is the smallest doc_id reachable over links of that similarity or more; kept marks the row that has it.
+    component_id is the smallest doc_id reachable over links of that similarity (0.8 at least) or more; kept marks the row that has it.
     Null, empty and wordless texts have no shingles, are linked with nothing and kept. A repeated row gets the same
     result each time it occurs; an id that occurs with different texts is a node that carries all of them.
     Rows without an id are returned with null component_id and kept, and link nothing. Other columns are ignored.
-    Texts of any length are taken whole. An empty table gives an empty result.
+    Texts of any length are taken whole. An empty table gives an empty result. The result is a table in the shared folder; all others that were
+    written on the way are gone by then.
     """
+    if threshold < 0.8:
+        raise ValueError("runs of neighbouring values find similarities of 0.8 and more")
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(
-        docs.mapInArrow(lambda it: _signature(it, shingle, indexed + 1), "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"),
-        "signatures",
-    )
+    signed = stored(docs.mapInArrow(lambda it: _signature(it, shingle, k), "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>"), "signatures")
     same = ["n_shingles", "set_a", "set_b"]
-    classes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).where("node is not null")
-    classes = stored(classes, "classes")
+    classes = stored(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
     repeated = not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
-    once = lambda df: df.dropDuplicates() if repeated else df
-    heads = once(signed.join(classes, same).where("doc_id = node and size(sketch) > 1"))
+    heads = signed.join(classes, same).where(F.col("doc_id") == F.col("node")).where(F.col("n_shingles") >= LEAST).select("node", F.col("n_shingles").alias("n"), "sketch")
+    heads = stored(heads.dropDuplicates() if repeated else heads, "heads")
 
-    ranks = F.sequence(F.lit(1), F.size("sketch") - 1)
-    keys = F.transform(ranks, lambda i: run_key(F.element_at("sketch", i), F.element_at("sketch", i + 1)))
-    postings = heads.select("node", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
+    postings = heads.select("node", "n", F.explode(run_keys(F.col("sketch"), F.col("n"), indexed)).alias("key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    lists = stored(postings.join(shared, "key"), "lists")
-    wanted = few(lists.select("node").distinct())
-    texts = once(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"))
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, shingle), "node long, items array<long>"), "sets")
-
-    lists = lists.withColumn("component", F.col("node"))
-    merges = []
-    for turn in range(hubs + 1):
-        per = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(_hub_order(turn)).alias("hub"))
-        per = per.where("lo < hi").select("key", "hub")
-        lists = stored(lists.select("key", "node", "n", "component").join(per, "key"), f"open{turn}")
-        if lists.isEmpty():
-            break
-        if turn == hubs:
-            met = _candidates(lists, sets, k, indexed, threshold)
-        else:
-            met = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.component").alias("cb"))
-            met = met.where("ca <> cb").where(100 * F.least("na", "nb") >= round(100 * threshold) * F.greatest("na", "nb")).drop("na", "nb")
-        links = stored(confirmed(met.distinct(), sets, k, threshold), "links")
+    lists = stored(postings.join(shared, "key").withColumn("component", F.col("node")), "lists")
+    merges: list[DataFrame] = []
+
+    def link(pairs: DataFrame) -> None:
+        """Takes stored pairs (a, ca, b, cb) as links if they are confirmed."""
+        if not pairs.isEmpty():
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            sets = _sets_of(nodes, docs, shingle, repeated)
+            merge(stored(confirmed(pairs, sets, threshold), "links"))
+            discard(sets)
+        discard(pairs)
+
+    def merge(links: DataFrame) -> None:
         merges.append(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        lists = _merged(lists, merges[-1])
-
-    of = classes.withColumn("component", F.col("node"))
-    for merge in merges:
-        of = _merged(of, merge)
+        discard(links)
+
+    def up_to_date(df: DataFrame, since: int) -> DataFrame:
+        return reduce(_merged, merges[since:], df)
+
+    # one hub for each list
+    hub = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    met = lists.join(hub, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
+    met = met.where("a <> b").where(100 * F.least("na", "nb") >= round(100 * threshold) * F.greatest("na", "nb")).select("a", F.col("a").alias("ca"), "b", F.col("b").alias("cb")).distinct()
+    link(stored(estimated(met, heads, k, threshold), "hubs"))
+    # the likely links that are left, and which nodes may have others
+    found = _met(up_to_date(lists, 0), heads.select("node", F.col("sketch").alias("items")), k, threshold, block, False)
+    discard(lists)
+    since = len(merges)
+    link(stored(found.where("sure").drop("sure"), "likely"))
+    # clusters of nodes that may have others: whole sets within each
+    maybe = components(found.where("not sure").select("a", "b"))
+    if not maybe.isEmpty():
+        of = found.where("not sure").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("e")).select("e.*").distinct()
+        clusters = maybe.select("node", F.col("component").alias("key")).join(up_to_date(of, since), "node").join(heads.select("node", "n").distinct(), "node")
+        open_ = clusters.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        clusters = stored(clusters.join(open_, "key"), "clusters")
+        if not clusters.isEmpty():
+            sets = _sets_of(clusters.select("node").distinct(), docs, shingle, repeated)
+            merge(_met(clusters, sets, k, threshold, block, True))
+            discard(sets)
+        discard(clusters)
+    discard(maybe, found)
+
+    of = up_to_date(classes.withColumn("component", F.col("node")), 0)
     of = of.select(*(F.col(c).alias(f"_{c}") for c in same), F.col("component").alias("_component"))
     joined = signed.join(of, [signed[c] == of[f"_{c}"] for c in same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = stored(joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "components")
+    discard(signed, classes, heads, *merges)
+    return out

@@ -83,6 +83,54 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.near_duplicates(odd.limit(0), 4).count() == 0
 
 
+def test_runs_miss_no_pair_at_the_threshold(spark):
+    """Of many pairs of sets at a similarity of just 0.8, of sizes on either side of `indexed`, none lacks a common run."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(6000):
+        size = int(rng.choice([4, 5, 8, 9, 10, 11, 20, 40, 64, 70, 90, 130, 400, 3000]))
+        apart = max(1, size // 4)  # shared is 4 times what is in one of them alone
+        values = np.unique(rng.integers(0, 2**31, 8 * size, dtype=np.int64))
+        values = rng.permutation(values)[: 4 * apart + apart]
+        ours = rng.random(apart) < rng.choice([0, 0.5, 1])
+        both, lone = values[apart:], values[:apart]
+        for side, own in enumerate((lone[ours], lone[~ours])):
+            x = np.sort(np.concatenate([both, own]))
+            rows.append((i, side, len(x), [int(v) for v in x[:128]]))
+    sets = spark.createDataFrame(rows, "pair long, side int, n long, sketch array<int>").where("n >= 4")
+    keys = sets.select("pair", "side", F.explode(neardup.run_keys(F.col("sketch"), F.col("n"), 64)).alias("key")).distinct()
+    met = keys.where("side = 0").join(keys.where("side = 1").select("pair", "key"), ["pair", "key"]).select("pair").distinct().count()
+    assert met == sets.groupBy("pair").count().where("count = 2").count() > 5000
+
+
+def test_large_groups_leave_as_trees(spark):
+    """Lists of thousands of members: exact components, and no more rows between tasks than members."""
+    rng, rows = random.Random(7), []
+    for g, (n, changes) in enumerate(((1500, 3), (600, 9), (1300, 40))):
+        base = words(200, 900 + g, 5000)
+        for _ in range(n):
+            copy = list(base)
+            for _ in range(rng.randrange(changes + 1)):
+                copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, 4, block=200).collect()}
+    sets = {d: neardup.textvec.shingle_sets([t], 4)[0] for d, t in rows}
+    every = np.unique(np.concatenate(list(sets.values())))
+    held = np.zeros((len(rows), len(every)), np.float32)
+    for d, s in sets.items():
+        held[d, np.searchsorted(every, s)] = 1
+    both, size = held @ held.T, held.sum(1)
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    label = np.arange(len(rows))
+    while True:
+        new = np.where(linked, label[None, :], len(rows)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert got == {d: (int(size[d]), int(label[d]), int(label[d]) == d) for d, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7)]

@@ -65,12 +65,16 @@ def expanded(turns: DataFrame) -> DataFrame:
 def parsed(formatted: Column) -> Column:
     """The turns of a formatted text: array of (role, text)."""
     parts = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
-    head = r"^<\|im_start\|>((?:\\[\s\S]|[^\\\n])*)\n"
+    head = r"^<\|im_start\|>((?:[^\\\n]++|\\[\s\S])*+)\n"  # possessive: a role of any length takes no stack
     return F.transform(parts, lambda p: F.struct(unescape(F.regexp_extract(p, head, 1)).alias("role"), unescape(F.regexp_replace(p, head, "")).alias("text")))
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """Per conversation what its examples say, read back from them: the turns from the longest, the trained text from the masks."""
+    """Per conversation what its examples say, read back from them: the turns from the longest, the trained text from the masks.
+
+    A null conv_id is a conversation; without a trainable example the trained text is empty; an example that occurs twice counts twice. Roles and texts
+    may be of any length that a string can have. No examples give no rows.
+    """
     reply = unescape(F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
     ex = examples.select(
         "conv_id", F.length("formatted").cast("long").alias("chars"),

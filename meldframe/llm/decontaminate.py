@@ -126,7 +126,8 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 24) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item of the benchmark as find() understands it."""
+    """The rows of docs, with all their columns, that hold no item of the benchmark as find() understands it. Null and empty texts hold none; of repeated rows
+    all stay or all go; without items every row stays, and without rows there are none."""
 
     def clean(items: list[tuple[int | None, str]]) -> Callable[[list[str | None]], np.ndarray]:
         built: list = []

@@ -20,6 +20,8 @@ from .common import bounded, id_crc, small_batches
 from .pieces import MARK, codec
 
 UNKNOWN = "und"
+#: Bytes of a word that EM takes at once; a longer run of letters is taken in parts of so many.
+CUT = 64
 
 
 class Vocabulary:
@@ -28,14 +30,14 @@ class Vocabulary:
     Hashes of spans are looked up in two tables; the second holds those that met another in the first.
     """
 
-    LONGEST = 16
-
     def __init__(self, path: str) -> None:
         sp = codec(path).sp
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         keys = {(p.startswith(MARK), p.lstrip(MARK).lower().encode()) for p in pieces if p.count(MARK) <= 1 and MARK not in p[1:]}
-        keys = {k for k in keys if 0 < len(k[1]) <= self.LONGEST} | {(m, bytes([b])) for b in range(256) for m in (False, True)}
-        self.size = len(keys)
+        keys = {k for k in keys if k[1]} | {(m, bytes([b])) for b in range(256) for m in (False, True)}
+        self.size, self.longest = len(keys), max(len(k) for _, k in keys)
+        #: Lengths that some piece has; a word has no arcs of others.
+        self.lengths = sorted({len(k) for _, k in keys})
         data = sorted(keys)
         hashes = np.array([textvec.bytes_hash(k) for _, k in data], np.uint64) ^ np.array([self.first if m else 0 for m, _ in data], np.uint64)
         self.slots = [np.full(1 << 19, -1, np.int32), np.full(1 << 18, -1, np.int32)]
@@ -78,7 +80,7 @@ def vocabulary(path: str) -> Vocabulary:
 def lattice(vocab: Vocabulary, sums: np.ndarray, start: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, words, pieces) of all pieces that fit into words of one length, by ascending end."""
     for to in range(1, length + 1):
-        for at in range(max(0, to - vocab.LONGEST), to):
+        for at in (to - n for n in reversed(vocab.lengths) if n <= to):
             h = textvec.span_hash(sums, start + at, start + to)
             for marked in (False, True) if at == 0 else (False,):
                 piece = vocab.find(h ^ np.uint64(vocab.first) if marked else h)
@@ -97,9 +99,9 @@ def forward(vocab: Vocabulary, logp: np.ndarray, buf: np.ndarray, start: np.ndar
     most = max(1, 4_000_000 // p.shape[1])
     for group in np.split(order, cuts) if len(order) else ():
         n = int(size[group[0]])
-        each = max(1, most // (vocab.LONGEST + 1))
+        each = max(1, most // (vocab.longest + 1))
         for pick in (group[i : i + each] for i in range(0, len(group), each)):
-            ring = [np.zeros((len(pick), p.shape[1])) for _ in range(vocab.LONGEST + 1)]
+            ring = [np.zeros((len(pick), p.shape[1])) for _ in range(vocab.longest + 1)]
             ring[0][:] = 1
             scale = np.zeros((len(pick), p.shape[1]))
             now = 0
@@ -122,9 +124,12 @@ def expectation(vocab: Vocabulary, logp: np.ndarray, buf: np.ndarray, start: np.
     p, sums, size = np.exp(logp), textvec.prefix_sums(buf), end - start
     out = np.zeros_like(p)
     order = np.argsort(size, kind="stable")
-    for pick in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+    groups = np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ()
+    for pick in (g[i : i + each] for g in groups for each in [max(1, 2_000_000 // (int(size[g[0]]) * p.shape[1] + 1))] for i in range(0, len(g), each)):
         n = int(size[pick[0]])
-        if n > 40:
+        if n > CUT:  # beyond the range of doubles: in parts, as such words are none
+            for s in range(0, n, CUT):
+                out += expectation(vocab, logp, buf, start[pick] + s, np.minimum(start[pick] + s + CUT, end[pick]), counts[pick])
             continue
         arcs = list(lattice(vocab, sums, start[pick], n))
         a, b = np.zeros((2, n + 1, len(pick), p.shape[1]))
@@ -157,11 +162,11 @@ class LanguageModel:
         before = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
         return like, np.diff(w.first), np.bincount(doc, before[w.end] - before[w.start], len(texts))
 
-    def predict(self, texts: list[str | None], words: int = 32) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text, as predict() below has them."""
-        return self.judge(texts, words)[:2]
+        return self.judge(texts)[:2]
 
-    def judge(self, texts: list[str | None], words: int = 32) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language and score of each text, the language's number, the text's log likelihood in that language per character of its words, and those characters."""
         some = np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
         if not self.langs or not some.any():
@@ -169,13 +174,13 @@ class LanguageModel:
         like, n, size = self.likelihoods(texts)
         best = like.argmax(1)
         rate = like[np.arange(len(texts)), best] / np.maximum(size, 1)
-        like = (like - like.max(1, keepdims=True)) * (np.minimum(n, words) / np.maximum(n, 1))[:, None]
+        like = (like - like.max(1, keepdims=True)) * (1 / (1 + np.sqrt(n / 32)))[:, None]
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)], np.where(some, 1 / np.exp(like).sum(1), 0.0), best, rate, size
 
 
-def _sampled(docs: DataFrame, sample: int, longest: int) -> tuple[list[str], DataFrame]:
+def _sampled(docs: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
     """The languages and the training documents (lang, text)."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(id_crc() % 4 != 2).where(F.length("text") <= longest)
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(id_crc() % 4 != 2)
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return [], known.select("lang", "text")
@@ -198,10 +203,10 @@ class Limits:
         return (size == 0) | (self.mean[best] - rate <= self.most + self.short * np.sqrt(self.varies[best] / np.maximum(size, 1)))
 
 
-def limits(docs: DataFrame, model: LanguageModel, sample: int = 400, longest: int = 20_000, margin: float = 3.0, share: float = 0.999) -> Limits:
+def limits(docs: DataFrame, model: LanguageModel, sample: int = 400, margin: float = 3.0, share: float = 0.999) -> Limits:
     """Learns from the training documents that train() takes what log likelihood per character texts of their languages have: a text may lie as far
     under the mean as `margin` times what `share` of the longer half do. Without training documents every text holds."""
-    langs, picked = _sampled(docs, sample, longest)
+    langs, picked = _sampled(docs, sample)
 
     def judged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(rows):
@@ -226,13 +231,12 @@ def limits(docs: DataFrame, model: LanguageModel, sample: int = 400, longest: in
     return out
 
 
-def train(docs: DataFrame, path: str, sample: int = 400, longest: int = 20_000, rounds: int = 4) -> LanguageModel:
+def train(docs: DataFrame, path: str, sample: int = 400, rounds: int = 4) -> LanguageModel:
     """Learns from text and lang of documents with a language whose crc32(doc_id as text) mod 4 is not 2.
 
-    Takes about `sample` such documents of each language, chosen by a hash of doc_id, of at most `longest` characters each (for
-    training alone). Without labelled documents the model has no language and everything is unknown.
+    Takes about `sample` such documents of each language, chosen by a hash of doc_id, with all their text. Without labelled documents the model has no language and everything is unknown.
     """
-    langs, picked = _sampled(docs, sample, longest)
+    langs, picked = _sampled(docs, sample)
     vocab = vocabulary(path)
     logp = np.full((vocab.size, len(langs)), -np.log(vocab.size))
     if not langs:
@@ -260,18 +264,18 @@ def train(docs: DataFrame, path: str, sample: int = 400, longest: int = 20_000,
     return LanguageModel(path, langs, logp)
 
 
-def predict(docs: DataFrame, model: LanguageModel, words: int = 32) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, lang_pred, score.
 
-    score is the posterior of the predicted language among the learned ones, equally likely before; a text of more than `words` words
-    counts as so many, so that long texts don't all get 1. Null texts and those without a letter are `und` with score 0. Ties
+    score is the posterior of the predicted language among the learned ones, equally likely before; differences of log
+    likelihood are divided by 1 + sqrt(n / 32) for n words, which are far from independent, so that long texts don't all get 1. Null texts and those without a letter are `und` with score 0. Ties
     go to the first language by name. Texts are taken whole; rows may repeat; a null doc_id has a null held_out; other columns, lang
     among them, are not read; no rows give no rows.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(rows):
-            said, score = model.predict(batch.column("text").to_pylist(), words)
+            said, score = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     small_batches(docs.sparkSession)

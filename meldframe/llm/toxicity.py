@@ -57,8 +57,8 @@ class OrdinalModel:
         return sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def associated(held: np.ndarray, row: np.ndarray, y: np.ndarray, least: int = 3, z: float = 2.6, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """held: the distinct words of each text, row: the text of each. Words in at least `least` texts whose log odds differ between y and the rest by z standard errors; the `most` strongest; their z."""
+def associated(held: np.ndarray, row: np.ndarray, y: np.ndarray, least: int = 3, z: float = 2.6) -> tuple[np.ndarray, np.ndarray]:
+    """held: the distinct words of each text, row: the text of each. Words in at least `least` texts whose log odds differ between y and the rest by z standard errors; their z."""
     every, inverse = np.unique(held, return_inverse=True)
     flag = y[row]
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -66,7 +66,6 @@ def associated(held: np.ndarray, row: np.ndarray, y: np.ndarray, least: int = 3,
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((c + 0.5) / (n0 - c + 0.5))
     score = odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
     pick = np.flatnonzero((a + c >= least) & (np.abs(score) >= z))
-    pick = np.sort(pick[np.argsort(-np.abs(score[pick]), kind="stable")[:most]])
     return every[pick], score[pick]
 
 
@@ -101,8 +100,8 @@ def fit(words: np.ndarray, row: np.ndarray, column: np.ndarray, x: np.ndarray, g
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalModel:
     """Fits on about `sample` labelled documents chosen by a hash of doc_id.
 
-    Grades: 0 for toxic = 0; a toxic document has grade 1, 2 or 3 as it holds up to 1, up to 3 or more words of the lexicon
-    that the labels themselves set apart. Null labels and ids and documents without label teach nothing; without any, nothing is toxic.
+    Grades: 0 for toxic = 0; a toxic document has grade 1, 2 or 3 as it holds up to 1, up to 3 or more words that the labels of the other half
+    of the sample set apart: what grades a document is not learnt from it. The labels have no grades of their own, so that severity means this. Null labels and ids and documents without label teach nothing; without any, nothing is toxic.
     """
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     few = F.broadcast(hashed_sample(known, sample, known.count(), "doc_id"))
@@ -123,11 +122,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalMode
     lists = got.column("words").chunk(0)
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     held_words, times = lists.flatten().to_numpy().view(np.uint64), got.column("times").chunk(0).flatten().to_numpy()
-    words, z = associated(held_words, row, y)
+    all_row, all_times = row, times
+    fold = (np.bincount(row, held_words & np.uint64(0xFF), len(y)).astype(np.int64) & 1).astype(np.int64)  # by the texts themselves
+    words, _ = associated(held_words, row, y)
     at = np.minimum(np.searchsorted(words, held_words), max(0, len(words) - 1))
     ok = np.flatnonzero(words[at] == held_words) if len(words) else np.zeros(0, np.int64)
     row, column, times = row[ok], at[ok], times[ok]
-    hits = np.bincount(row, times * (z[column] > 0) if len(words) else None, len(y))
+    hits = np.zeros(len(y))
+    for half in (0, 1):
+        mine, theirs = fold == half, fold != half
+        other = theirs[all_row]
+        lexicon, odds = associated(held_words[other], np.cumsum(theirs)[all_row[other]] - 1, y[theirs]) if y[theirs].any() else (np.zeros(0, np.uint64), np.zeros(0))
+        told = lexicon[odds > 0]
+        own = mine[all_row] & np.isin(held_words, told)
+        hits += np.bincount(all_row[own], all_times[own], len(y))
     grade = np.where(y == 1, np.where(hits <= 1, 1, np.where(hits <= 3, 2, 3)), 0)
     grade = np.searchsorted(np.unique(np.append(grade, 0)), grade)
     return fit(words, row, column, np.log1p(times), grade)

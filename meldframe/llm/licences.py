@@ -1,9 +1,11 @@
 """Licence scan by a trained paragraph classifier.
 
 Sparse word n-grams (single words and neighbouring pairs) of licence notices, but for a fixed list of function words, are the features of a
-multinomial logistic regression over licence families and a class for other licence-like wording. It is trained on varied copies of
-template notices and on mixtures of them; its temperature is fitted on held-out copies. What it predicts counts as confirmed if
-the passage agrees with a template of that family.
+multinomial logistic regression over licence families and a class for other licence-like wording. Families are trained on varied copies of
+template notices, the unknown class on mixtures of them and on passages of the corpus that agree with none; the temperature is fitted on
+templates and passages held out. What it predicts counts as confirmed if the passage agrees with a template of that family.
+
+A passage is a run of template words within a paragraph, that is between blank lines, whatever its line breaks.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec
-from .common import bounded, small_batches
+from .common import bounded, hashed_sample, small_batches
 
 OTHER = "unknown"
+#: A corpus passage that agrees less than this with every template is an example of the unknown class.
+STRANGE = 0.35
 # Short public notices of each licence family.
 TEMPLATES = {
     "MIT": [
@@ -93,16 +97,19 @@ class Classifier:
         x[-1] = 1
         return x
 
-    def judge(self, said: list[str], agree: float = 0.6, sure: float = 0.5) -> tuple[str, float, float, bool]:
+    def agreement(self, family: str, own: set[str]) -> float:
+        """The best agreement of a passage's words with a template of the family."""
+        return max(len(own & t) / max(1, min(len(own), len(t))) * min(1.0, 2 * len(own) / len(t)) ** 0.5 for t in self.templates[family])
+
+    def judge(self, said: list[str], agree: float = 0.6) -> tuple[str, float, float, bool]:
         """Family, its probability, the best agreement with one of its templates, and whether that confirms it."""
         z = self.vector(said) @ self.weights / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         k = int(p.argmax())
-        if self.families[k] == OTHER or p[k] < sure:
-            return OTHER, float(p[self.families.index(OTHER)]), 0.0, False
-        own = set(said)
-        like = max(len(own & t) / max(1, min(len(own), len(t))) * min(1.0, 2 * len(own) / len(t)) ** 0.5 for t in self.templates[self.families[k]])
+        if self.families[k] == OTHER:
+            return OTHER, float(p[k]), 0.0, False
+        like = self.agreement(self.families[k], set(said))
         return (self.families[k] if like >= agree else OTHER), float(p[k]), float(like), like >= agree
 
 
@@ -116,8 +123,40 @@ def _varied(rng: np.random.Generator, said: list[str], noise: list[str]) -> list
     return [*pad(), *keep, *pad()]
 
 
-def train(docs: DataFrame | None = None, copies: int = 40, steps: int = 300) -> Classifier:
-    """Learns from the templates alone: all their words are terms but FUNCTION. docs is not read, so that no notice, however frequent, removes its own words."""
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int) -> np.ndarray:
+    """Weights (features by classes) by Adam on the multinomial likelihood; classes weigh the same, whatever their numbers."""
+    target, each = np.eye(classes)[y], (1 / np.maximum(np.bincount(y, minlength=classes), 1))[y][:, None]
+    each = each / each.sum()
+    w = np.zeros((x.shape[1], classes))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        g = x.T @ ((_softmax(x @ w) - target) * each) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def mined(docs: DataFrame, terms: np.ndarray, sample: int) -> list[list[str]]:
+    """The passages, as words, of about `sample` documents chosen by a hash of doc_id."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([t for _, _, t in passages(batch.column("text").to_pylist(), terms)], pa.string())], names=["passage"])
+
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    picked = hashed_sample(known, sample, known.count(), "doc_id")
+    return [tokens(r["passage"]) for r in picked.select("text").mapInArrow(run, "passage string").distinct().orderBy("passage").toLocalIterator()]
+
+
+def train(docs: DataFrame | None = None, copies: int = 40, steps: int = 300, sample: int = 1000) -> Classifier:
+    """Learns families from varied copies of the templates, all of whose words are terms but FUNCTION, and the unknown class from mixtures of these words
+    and from the corpus: passages of about `sample` documents that agree with no template. No notice, however frequent, is taken for the corpus's own, as
+    agreement and not frequency decides. The temperature is fitted on templates and passages that a first fit hasn't seen."""
     rng = np.random.default_rng(5)
     said = {k: [tokens(t) for t in v] for k, v in TEMPLATES.items()}
     terms = {w for v in said.values() for t in v for w in t if w not in FUNCTION}
@@ -127,37 +166,35 @@ def train(docs: DataFrame | None = None, copies: int = 40, steps: int = 300) ->
     families = [*sorted(said), OTHER]
     noise = sorted(FUNCTION)
     model = Classifier(families, np.sort(np.array([textvec.bytes_hash(w.encode()) for w in terms], np.uint64)), words, pairs, np.zeros((len(words) + len(pairs) + 1, len(families))), 1.0, {k: [set(t) for t in v] for k, v in said.items()})
-    x, y = [], []
+    x, y, held = [], [], []
     for k, v in said.items():
-        for t in v:
+        for i, t in enumerate(v):
             for _ in range(copies):
                 x.append(model.vector(_varied(rng, t, noise)))
                 y.append(families.index(k))
+                held.append(i > 0 and i == len(v) - 1)  # the last of several templates
     every = sorted(terms)
     for _ in range(6 * copies):  # licence words without a licence's order or company
         pick = [every[i] for i in rng.integers(0, len(every), rng.integers(2, 9))]
         x.append(model.vector(_varied(rng, pick, noise)))
         y.append(len(families) - 1)
-    x, y = np.array(x), np.array(y)
-    held = rng.random(len(y)) < 0.2
-    target = np.eye(len(families))[y]
-    w, m, v = model.weights, np.zeros_like(model.weights), np.zeros_like(model.weights)
-
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    for step in range(1, steps + 1):
-        g = x[~held].T @ (softmax(x[~held] @ w) - target[~held]) / (~held).sum() + 1e-5 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    loss = lambda t: -np.log(np.maximum(softmax(x[held] @ w / t)[np.arange(held.sum()), y[held]], 1e-12)).mean()
+        held.append(rng.random() < 0.2)
+    for said_there in mined(docs, model.terms, sample) if docs is not None else ():
+        if max(model.agreement(k, set(said_there)) for k in said) < STRANGE:
+            x.append(model.vector(said_there))
+            y.append(len(families) - 1)
+            held.append(rng.random() < 0.5)
+    x, y, held = np.array(x), np.array(y), np.array(held)
+    w = _fit(x[~held], y[~held], len(families), steps)
+    loss = lambda t: -np.log(np.maximum(_softmax(x[held] @ w / t)[np.arange(held.sum()), y[held]], 1e-12)).mean()
     model.temperature = min((0.5, 0.75, 1, 1.5, 2, 3, 4), key=loss)
+    model.weights = _fit(x, y, len(families), steps)
     return model
 
 
 def passages(texts: list[str | None], terms: np.ndarray, gap: int = 12, edge: int = 4) -> list[tuple[int, int, str]]:
-    """(text, line, passage): runs of words of one line with two different terms or more, no two terms in a row over `gap` words apart, with `edge` words on either side."""
+    """(text, line, passage): runs of words of one paragraph with two different terms or more, no two terms in a row over `gap` words apart, with `edge`
+    words of their lines on either side, and the line (from 0) of the first term. Terms further apart are in passages of their own."""
     w = textvec.words([(t or "").lower() for t in texts], _APART, lower=False)
     sieve = np.zeros(1 << 16, bool)
     sieve[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -165,20 +202,26 @@ def passages(texts: list[str | None], terms: np.ndarray, gap: int = 12, edge: in
     maybe = maybe[terms[np.minimum(np.searchsorted(terms, w.hash[maybe]), len(terms) - 1)] == w.hash[maybe]]
     if not len(maybe):
         return []
-    line = np.searchsorted(np.flatnonzero(w.buf == 10), w.start[maybe])
     ends = np.flatnonzero(w.buf == 10)
+    blank = np.zeros(len(ends), bool)  # lines of white space alone: line i ends at ends[i]
+    inked = np.concatenate([[0], np.cumsum(~textvec.SPACES[w.buf])])
+    blank[:] = inked[ends] == inked[np.concatenate([[0], ends[:-1] + 1])]
+    blank[np.searchsorted(ends, w.at[1:] - 1)] = True  # a text's end parts too
+    part = np.concatenate([[0], np.cumsum(blank)])  # of each line, blank ones counting as ends
+    line = np.searchsorted(ends, w.start[maybe])
+    doc = np.searchsorted(w.at, w.start[maybe], "right") - 1
+    paragraph = part[line]
+    cuts = np.flatnonzero((np.diff(paragraph) != 0) | (np.diff(doc) != 0) | (np.diff(maybe) > gap)) + 1
     out = []
-    cuts = np.flatnonzero((np.diff(line) != 0) | (np.diff(maybe) > gap)) + 1
     for run in np.split(np.arange(len(maybe)), cuts):
         hit = maybe[run]
         if len(run) < 2 or len(np.unique(w.hash[hit])) < 2:
             continue
-        n = int(line[run[0]])
-        first, last = (int(ends[n - 1]) + 1 if n else 0), int(ends[n])
+        d, n = int(doc[run[0]]), int(line[run[0]])
         a, b = max(0, hit[0] - edge), min(len(w.start) - 1, hit[-1] + edge)
+        first, last = (int(ends[n - 1]) + 1 if n else 0), int(ends[line[run[-1]]])
         lo, hi = max(first, int(w.start[a])), min(last, int(w.end[b]))
-        doc = int(np.searchsorted(w.at, lo, "right")) - 1
-        out.append((doc, n - int(np.searchsorted(ends, w.at[doc])), w.buf[lo:hi].tobytes().decode("utf-8", "replace")))
+        out.append((d, n - int(np.searchsorted(ends, w.at[d])), w.buf[lo:hi].tobytes().decode("utf-8", "replace")))
     return out
 
 
@@ -186,7 +229,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """Licence passages in docs (doc_id, text): doc_id, line (from 0), family, probability, similarity, confirmed.
 
     A passage that no family explains, or whose family's templates it doesn't agree with, is `unknown` and not confirmed. Null and empty texts have none;
-    texts are taken whole, and long lines in passages. Repeated rows give their passages each; a null doc_id is kept; other columns are ignored;
+    texts are taken whole, and long paragraphs in passages. Repeated rows give their passages each; a null doc_id is kept; other columns are ignored;
     no rows give no rows.
     """
 

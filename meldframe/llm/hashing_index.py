@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -138,16 +139,19 @@ def search(vectors: DataFrame, is_query: Column, near: int = 20, sample: int = 1
 
     Codes are fitted on about `sample` rows chosen by a hash of vec_id; every row is indexed. Rows and queries meet in blocks of about `rows`
     and `queries`, dealt by hash, so that no task grows with the table; the best of each block are merged. Ties go to the smaller vec_id.
-    Null, zero and non-finite vectors, null ids, and vectors of another length than most take no part. Repeated rows are candidates each, but
+    Null, zero and non-finite vectors and null ids take no part. Vectors of another length than a query's have no product with it: each length is
+    searched by itself, with codes of its own. Repeated rows are candidates each, but
     not for their own id. Other columns are ignored. Without queries or other rows the result is empty.
     """
     spark = vectors.sparkSession
     every = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asked"))
-    sizes = every.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).alias("norm"), F.sum(F.col("asked").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None or not sizes["q"]:
-        return spark.createDataFrame([], schema)
-    every = every.where(F.size("v") == sizes["d"])
+    sizes = every.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).alias("norm"), F.sum(F.col("asked").cast("long")).alias("q")).orderBy(F.desc("n"), "d").collect()
+    found = [_search(every.where(F.size("v") == s["d"]), s, near, sample, rows, queries) for s in sizes if s["q"]]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(every: DataFrame, sizes: Row, near: int, sample: int, rows: int, queries: int) -> DataFrame:
+    """search() among vectors (vec_id, v, asked) of one length; sizes has their number n, their largest norm, and the number q of queries."""
     codes = fit(_matrix(hashed_sample(every.select("vec_id", "v"), sample, sizes["n"], "vec_id").toArrow()), sizes["norm"])
     n_rows, n_queries = math.ceil(sizes["n"] / rows), math.ceil(sizes["q"] / queries)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -3,7 +3,8 @@
 The normaliser is our own: the longest prefix found in the model's compiled character map (a double-array trie of UTF-8 bytes)
 is replaced, and the source bytes of each normalised byte are recorded. The normalised text falls into chunks, each a run of
 word marks and what follows it; no piece of the vocabulary crosses a chunk's edge (this is verified on loading), so chunks are
-segmented by the library once per distinct chunk. A model with other pieces is segmented a text at a time.
+segmented by the library once per distinct chunk. A model with other pieces is segmented a text at a time. Either way the pieces tile the
+normalised text, and the normaliser's record of origins projects each to its bytes of the source.
 """
 
 from __future__ import annotations
@@ -86,6 +87,8 @@ class Normalizer:
         self.plain = not blob and prefix and not squeeze and escape
 
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
+        if self.plain and MARK not in text:
+            return self._plain(text)
         data, out, origin = text.encode("utf-8", "surrogatepass"), bytearray(), []
         space = MARK.encode() if self.escape else b" "
         at = 0
@@ -108,7 +111,7 @@ class Normalizer:
             if to:
                 to_out = to.replace(b" ", space)
                 out += to_out
-                origin += [at] * len(to_out)
+                origin += range(at, at + n) if to_out == data[at : at + n] else [at] * len(to_out)
                 spaced = self.squeeze and to.endswith(b" ")
             at += n
         if self.squeeze:
@@ -118,6 +121,14 @@ class Normalizer:
                 del origin[len(out) :]
         return bytes(out), np.array([*origin, at])
 
+    def _plain(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The same without a map: no key is a prefix of anything, so that each character is its own, and spaces are marks."""
+        if not text:
+            return b"", np.zeros(1, np.int64)
+        data = np.frombuffer(f" {text}".encode("utf-8", "surrogatepass"), np.uint8)
+        times = np.where(data == 32, len(MARK.encode()), 1)
+        return f" {text}".replace(" ", MARK).encode("utf-8", "surrogatepass"), np.append(np.maximum(np.repeat(np.arange(len(data)) - 1, times), 0), len(data) - 1)
+
 
 class Codec:
     """One model: encode() gives ids and byte spans in the source, decode() the text of ids."""
@@ -132,9 +143,8 @@ class Codec:
         self.normalize = Normalizer(spec[2], bool(spec[3]), bool(spec[4]), bool(spec[5]))
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         byte = [self.sp.is_byte(i) for i in range(len(pieces))]
-        #: Bytes of a piece in the normalised text and, where only spaces are changed, in the source.
+        #: Bytes of a piece in the normalised text.
         self.width = np.array([1 if b else len(p.encode()) for p, b in zip(pieces, byte, strict=True)], np.int64)
-        self.source = np.array([1 if b else len(p.encode()) - 2 * p.count(MARK) for p, b in zip(pieces, byte, strict=True)], np.int64)
         plain = [p for i, p in enumerate(pieces) if not byte[i] and not self.sp.is_control(i) and not self.sp.is_unknown(i)]
         self.chunked = self.normalize.plain and all(MARK not in p.lstrip(MARK) for p in plain) and all(byte[self.sp.piece_to_id(f"<0x{b:02X}>")] for b in range(256))
         self.eos, self.mark = self.sp.eos_id(), self.sp.piece_to_id(MARK)
@@ -164,9 +174,9 @@ class Codec:
             n = len(t.encode("utf-8", "surrogatepass"))
             if p:
                 ids = np.concatenate([self.cache[c] for c in p])
-                end = np.cumsum(self.source[ids]) - 1
+                origin = self.normalize(t)[1]
+                end = origin[np.cumsum(self.width[ids])]
                 start = np.concatenate([[0], end[:-1]])
-                start[0] = 0
             else:
                 ids, start, end = self._whole(t)
             if eos:
@@ -198,6 +208,7 @@ def codec(path: str) -> Codec:
 
 SPANS = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SPAN_DIGESTS = f"{DIGESTS}, spans_sha256 string, tiled boolean"
 
 
 def encoded(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
@@ -224,17 +235,22 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of docs: doc_id, the number and digest of its encoded ids, and the digest of the text decoded from them. As encode()."""
+def digests(docs: DataFrame, path: str, aligned: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, the number and digest of its encoded ids, and the digest of the text decoded from them; if aligned, also that of the ids' source
+    spans (starts, then ends, as little-endian 32-bit integers), and whether the spans in a row are the whole source. Odd rows as encode() has them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch, es in encoded(rows, path):
             ids = [e[0].tolist() for e in es]
             back = codec(path).sp.decode(ids) if ids else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(" ".join(map(str, i))) for i in ids]), pa.array([sha(b) for b in back])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, DIGESTS)
+            columns = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(" ".join(map(str, i))) for i in ids], pa.string()), pa.array([sha(b) for b in back], pa.string())]
+            if not aligned:
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGESTS.split(", ")])
+                continue
+            spans = [hashlib.sha256(s.astype("<i4").tobytes() + e.astype("<i4").tobytes()).hexdigest() for _, s, e in es]
+            sizes = [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            tiled = [bool(s[0] == 0 and e[-1] == n and (s[1:] == e[:-1]).all()) for (_, s, e), n in zip(es, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.string()), pa.array(tiled, pa.bool_())], names=[x.split()[0] for x in SPAN_DIGESTS.split(", ")])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SPAN_DIGESTS if aligned else DIGESTS)

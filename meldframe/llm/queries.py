@@ -56,7 +56,7 @@ def op8_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_offset_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), aligned=True)
 
 
 def op10_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +25,7 @@ from .queries import ORACLE_SQL as ORACLE_SQL
 from .queries import QUERIES as QUERIES
 from .sources.database import Atoms, Database, FileImport, FloorMismatch, RowView, Table, Tenants, restore
 from .sources.files import is_bad_path, read_all
+from .sources.folder import workspace
 from .streaming import feed
 
 USERS = TableSchema(
@@ -35,14 +35,6 @@ USERS = TableSchema(
 )
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir; under /tmp if that is unset and all runs on this machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{at or '/tmp/checkpoints'}/meldframe/query-{uuid.uuid4().hex}"
-
-
 def pk_of(c: Column) -> Column:
     return F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(c.cast("string"), 12, "0"))
 

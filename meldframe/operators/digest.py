@@ -51,10 +51,13 @@ def tree(rows: DataFrame) -> DataFrame:
 def stored_tree(rows: DataFrame, folder: str) -> DataFrame:
     """tree(), its leaves written to the folder first: the four levels above are made of these few rows (16**DEPTH at most), not of all rows again,
     and so is what is done with the tree."""
-    spark = rows.sparkSession
+    return above(_written(leaves(rows), folder))
+
+
+def _written(level: DataFrame, folder: str) -> DataFrame:
     at = f"{folder}/leaves-{uuid.uuid4().hex}"
-    leaves(rows).write.parquet(at)
-    return above(spark.read.parquet(at))
+    level.write.parquet(at)
+    return level.sparkSession.read.parquet(at)
 
 
 def above(level: DataFrame) -> DataFrame:
@@ -86,20 +89,13 @@ def children(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.where((F.col("level") == len(prefix) + 1) & F.col("prefix").startswith(prefix))
 
 
-def refreshed(nodes: DataFrame, rows: DataFrame, touched: DataFrame) -> DataFrame:
-    """The tree after the rows with the keys of touched changed: only their leaves and those leaves' ancestors are made anew."""
+def refreshed(nodes: DataFrame, rows: DataFrame, touched: DataFrame, folder: str | None = None) -> DataFrame:
+    """The tree after the rows with the keys of touched changed: only their leaves are made of rows anew. All leaves, few as they are, then give the levels
+    above; with a folder they are written there first, so that rows are read once."""
     stale = touched.select(F.substring("key", 1, DEPTH).alias("prefix")).distinct()
-    level = leaves(rows.withColumn("prefix", F.substring("key", 1, DEPTH)).join(stale, "prefix", "left_semi"))
-    out = None
-    for depth in range(DEPTH, -1, -1):
-        kept = nodes.where(F.col("level") == depth).join(stale, "prefix", "left_anti").select("level", "prefix", "hash")
-        out = kept.unionByName(level) if out is None else out.unionByName(kept).unionByName(level)
-        if depth:
-            up = stale.select(F.expr("substring(prefix, 1, length(prefix) - 1)").alias("prefix")).distinct()
-            below = kept.unionByName(level).where(F.col("level") == depth)
-            level = parents(below.withColumn("_up", F.expr("substring(prefix, 1, length(prefix) - 1)")).join(up.withColumnRenamed("prefix", "_up"), "_up", "left_semi"))
-            stale = up
-    return out
+    fresh = leaves(rows.withColumn("prefix", F.substring("key", 1, DEPTH)).join(stale, "prefix", "left_semi"))
+    kept = nodes.where(F.col("level") == DEPTH).join(stale, "prefix", "left_anti").select("level", "prefix", "hash")
+    return above(_written(kept.unionByName(fresh), folder) if folder else kept.unionByName(fresh))
 
 
 def tree_diff(mine: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .operators import digest, lattice, rga, sync
 from .plans.query import Query
 from .plans.schema import Column as SchemaColumn
 from .plans.schema import Index, TableSchema
+from .sources.folder import workspace
 from .streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -515,12 +516,12 @@ def merkle_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(" UNION ALL ".join(f"SELECT * FROM ({x})" for x in _LEVELS))
 def merkle_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.tree(_hashed(spark, sf_dir))
+    return digest.stored_tree(_hashed(spark, sf_dir), workspace(spark))
 
 
 @registered(f"SELECT hash FROM ({_LEVELS[4]})")
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.tree(_hashed(spark, sf_dir)).where("level = 0").select("hash")
+    return digest.stored_tree(_hashed(spark, sf_dir), workspace(spark)).where("level = 0").select("hash")
 
 
 def _changed(rows: DataFrame) -> DataFrame:
@@ -532,7 +533,8 @@ def _changed(rows: DataFrame) -> DataFrame:
 def merkle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = _hashed(spark, sf_dir)
     theirs = _changed(mine)
-    differing = digest.tree_diff(digest.tree(mine), digest.tree(theirs))
+    at = workspace(spark)
+    differing = digest.tree_diff(digest.stored_tree(mine, at), digest.stored_tree(theirs, at))
     return digest.rows_to_send(mine.select("key", "digest"), theirs.select("key", "digest"), differing)
 
 
@@ -547,7 +549,8 @@ def merkle_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of changed rows, brought to that of the true ones by way of the touched leaves."""
     mine = _hashed(spark, sf_dir)
     touched = mine.where("o_orderkey % 97 = 0 or o_orderkey % 89 = 0").select("key")
-    return digest.refreshed(digest.tree(_changed(mine)), mine, touched)
+    at = workspace(spark)
+    return digest.refreshed(digest.stored_tree(_changed(mine), at), mine, touched, at)
 
 
 # Feeds.

@@ -199,13 +199,20 @@ def coerce_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", coerce.int_like(text, "string").alias("as_int"), coerce.bool_like(flag, "string").alias("as_bool"), coerce.int_like(F.col("value"), "double").alias("cut"))
 
 
-@registered("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS int_text, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS ts_text FROM orders WHERE epoch_us(o_orderdate) % 1000000 = 0")
+@registered("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS int_text, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(o_orderdate) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(epoch_us(o_orderdate) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS ts_text FROM orders ")
 def stored_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")).where("unix_micros(at) % 1000000 = 0")
+    d = _table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
     text = lambda c, kind: F.decode(coerce.stored(F.col(c), kind), "utf-8")
     return d.select("o_orderkey", text("o_orderkey", "int").alias("int_text"), text("at", "timestamp").alias("ts_text"))
 
 
+@registered("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS text, epoch_us(ts) AS micros FROM events")
+def stored_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps with parts of a second as their column stores them, and read back."""
+    stored = coerce.stored(F.col("ts"), "timestamp")
+    return _events(spark, sf_dir).select("event_id", F.decode(stored, "utf-8").alias("text"), F.unix_micros(coerce.loaded(stored, "timestamp")).alias("micros"))
+
+
 # Operation logs.
 
 _OPS = "SELECT *, CAST(user_id AS VARCHAR) AS pk, event_id % 3 AS replica, (epoch_us(ts) // 1000) * 65536 + (event_id & 65535) AS hlc FROM events"
@@ -378,13 +385,13 @@ def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.file_metadata(files).select("path", "size")
 
 
-@registered("SELECT doc_id, CAST(substring(text, 11, 20) AS VARCHAR) AS part FROM documents WHERE strlen(text) > 10 AND strlen(text) = length(text)")
+@registered("SELECT doc_id, substr(hex(encode(text)), 21, 40) AS part FROM documents WHERE strlen(text) > 10")
 def file_read_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.files import read_at
 
-    d = _table(spark, sf_dir, "documents").where("octet_length(text) = length(text)")
+    d = _table(spark, sf_dir, "documents")
     files = d.select(F.col("doc_id").alias("path"), F.encode("text", "utf-8").alias("content"), F.octet_length("text").alias("size"))
-    return read_at(files, 10, 20).select(F.col("path").alias("doc_id"), F.decode("bytes", "utf-8").alias("part"))
+    return read_at(files, 10, 20).select(F.col("path").alias("doc_id"), F.hex("bytes").alias("part"))
 
 
 def _cells(o: DataFrame) -> DataFrame:

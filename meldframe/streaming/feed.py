@@ -52,8 +52,9 @@ def wait_for_change(read: Callable[[], DataFrame], after: int, seconds: float =
 
 
 def merge_stream(log: DataFrame, kind: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Merges the log's operations of one kind into a state table. A batch that is repeated after a failure changes nothing, and late operations
-    count as any other: there is no watermark."""
+    """Merges the log's operations of one kind into a state table that is written whole by each batch, for small states; merge_into() appends to a database's.
+    A batch that is repeated after a failure changes nothing, and late operations count as any other: there is no watermark. Tags are collected here,
+    tombstones are a kind of their own."""
 
     def batch(rows: DataFrame, _: int) -> None:
         new, old = atoms(rows, kind), read()

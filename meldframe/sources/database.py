@@ -351,15 +351,31 @@ class Table:
         action = "pass" if peer_floor is None else sync.floor_action(peer_floor, self.db.gc_floor)
         if action == "block" or action == "full_sync" and not full:
             raise FloorMismatch(f"the peer's floor is {peer_floor}, this one's {self.db.gc_floor}")
+        added = {(self.schema.name, k): self.db._segment(self.schema.name, k, 0, d.select(*(f.split()[0] for f in lattice.STATES[k].split(", "))), False) for k, d in states.items()}
+        try:
+            latest = self._checked(added)
+        except BaseException:
+            for path in added.values():
+                self.db.folder.remove(path)
+            raise
+        if latest:
+            self.db.clock.update(latest)
+        self.db._append(added, peer=peer, floor=peer_floor if action == "full_sync" else None)
+
+    def _checked(self, added: dict[tuple[str, str], str]) -> int:
+        """The latest timestamp in new segments, which are read as they were written; ValueError if a column in them has another kind than its own."""
         declared = F.create_map(*(F.lit(x) for c in self.schema.columns for x in (c.name, c.crdt))) if self.schema.columns else F.create_map().cast("map<string,string>")
-        kind = F.when(F.col("kind") == "tombstone", "orset").otherwise(F.col("kind"))
-        facts = [d.select("pk", "col", F.lit(k).alias("kind"), F.greatest(*(F.col(c) for c in ("ts", "deleted_at") if c in d.columns), F.lit(0)) .alias("ts") if {"ts", "deleted_at"} & {*d.columns} else F.lit(0).cast("long").alias("ts")) for k, d in states.items()]
-        told = lattice.union(facts).agg(F.max("ts").alias("ts"), F.min(F.when(kind != F.coalesce(declared[F.col("col")], F.lit("lww")), F.struct("pk", "col", "kind"))).alias("wrong")).first()
+        facts = []
+        for (_, kind), path in added.items():
+            d = self.db._parquet(kind, path)
+            times = [F.col(c) for c in ("ts", "deleted_at") if c in d.columns]
+            crdt = "orset" if kind == "tombstone" else kind
+            other = F.coalesce(declared[F.col("col")], F.lit("lww")) != crdt
+            facts.append(d.agg(F.max(F.greatest(*times, F.lit(0)) if times else F.lit(0).cast("long")).alias("ts"), F.min(F.when(other, F.struct("pk", "col", F.lit(crdt).alias("kind")))).alias("wrong")))
+        told = lattice.union(facts).agg(F.max("ts").alias("ts"), F.min("wrong").alias("wrong")).first()
         if told["wrong"]:
             raise ValueError(f"columns of two types: {told['wrong']}")
-        if told["ts"]:
-            self.db.clock.update(told["ts"])
-        self.db._append({(self.schema.name, k): d.select(*(f.split()[0] for f in lattice.STATES[k].split(", "))) for k, d in states.items()}, peer=peer, floor=peer_floor if action == "full_sync" else None)
+        return told["ts"] or 0
 
 
 class Database:
@@ -421,7 +437,7 @@ class Database:
         parts = self.meta.get("state", {}).get(f"{table}/{kind}", [])
         if not parts:
             return self.spark.createDataFrame([], lattice.STATES[kind]), True
-        return self.spark.read.schema(lattice.STATES[kind]).parquet(*(self.folder.at(p) for p in parts)), len(parts) == 1 and _level(parts[0]) > 0
+        return self._parquet(kind, *parts), len(parts) == 1 and _level(parts[0]) > 0
 
     def _segment(self, table: str, kind: str, level: int, df: DataFrame, small: bool) -> str:
         """Writes a segment, sorted by pk and col; ranged by pk unless it is small."""
@@ -429,12 +445,15 @@ class Database:
         (df.coalesce(1) if small else df.repartitionByRange("pk")).sortWithinPartitions("pk", "col").write.parquet(self.folder.at(path))
         return path
 
-    def _append(self, states: dict[tuple[str, str], DataFrame], small: bool = False, peer: str | None = None, floor: int | None = None, rows: dict[tuple[str, str], list[tuple]] | None = None) -> None:
+    def _parquet(self, kind: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(lattice.STATES[kind]).parquet(*(self.folder.at(p) for p in paths))
+
+    def _append(self, added: dict[tuple[str, str], str], peer: str | None = None, floor: int | None = None) -> None:
+        """Commits segments that were written, by table and kind."""
         state = {k: list(v) for k, v in self.meta.get("state", {}).items()}
-        added = {}
-        for (table, kind), df in states.items():
+        for (table, kind), path in added.items():
             parts = state.setdefault(f"{table}/{kind}", [])
-            parts.append(added.setdefault((table, kind), self._segment(table, kind, 0, df, small)))
+            parts.append(path)
             self._tier(table, kind, parts)
         more = {"gc_floor": gc.raised_floor(self.gc_floor, floor)} if floor else {}
         self._save(state=state, clock=self.clock.now(), sequence=self.sequence + 1, **more)
@@ -444,7 +463,7 @@ class Database:
         """Makes one segment of the next level of each FAN of a level."""
         level = 0
         while len(own := [p for p in parts if _level(p) == level]) >= FAN:
-            df = self.spark.read.schema(lattice.STATES[kind]).parquet(*(self.folder.at(p) for p in own))
+            df = self._parquet(kind, *own)
             parts[:] = [p for p in parts if p not in own] + [self._segment(table, kind, level + 1, lattice.MERGES[kind](df) if kind in lattice.MERGES else df.distinct(), False)]
             level += 1
 
@@ -453,7 +472,7 @@ class Database:
         names = [x.split()[0] for x in OPLOG.split(", ")]
         parts = []
         for (table, kind), path in added.items():
-            df = self.spark.read.schema(lattice.STATES[kind]).parquet(self.folder.at(path))
+            df = self._parquet(kind, path)
             have = {"seq": F.lit(self.sequence).cast("long"), "tbl": F.lit(table), "kind": F.lit(kind), "source": F.lit(peer or self.replica), "pk": F.col("pk"), "col": F.col("col")}
             if peer is None:
                 have |= {c: F.col(c) for c in df.columns}
@@ -498,7 +517,7 @@ class Database:
     def _commit(self) -> None:
         rows = {(t.schema.name, k): v for t in self.tables.values() for k, v in t.pending.items() if v}
         if rows:
-            self._append({(name, k): self.spark.createDataFrame(v, lattice.STATES[k]) for (name, k), v in rows.items()}, small=True)
+            self._append({(name, k): self._segment(name, k, 0, self.spark.createDataFrame(v, lattice.STATES[k]), True) for (name, k), v in rows.items()})
         for t in self.tables.values():
             t.pending = {}
         for done in self.done:

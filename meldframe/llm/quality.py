@@ -98,7 +98,7 @@ class FactorisationMachine:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, bits: int = 15, rank: int = 4, epochs: int = 8, batch: int = 128) -> FactorisationMachine:
     """Fits by Adam on about `sample` labelled rows chosen by a hash of doc_id, of those whose crc32(doc_id as text) mod 5 is not 0.
-    Null labels and ids teach nothing; without labels every score is that of the bias, 0.5."""
+    Null labels and ids teach nothing, a repeated doc_id once, by its least text and label; without labels every score is that of the bias, 0.5."""
     known = labels.where("quality is not null and doc_id is not null").where(id_crc() % 5 != 0).select("doc_id", F.col("quality").cast("int").alias("quality"))
     few = F.broadcast(hashed_sample(known, sample, known.count(), "doc_id"))
 
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, bits: int = 15
             cut = lambda x: [x[s:e].tolist() for s, e in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"y": b.column("quality"), "stats": stats.tolist(), "columns": cut(column), "vals": cut(value)})
 
-    few = _columns(docs).join(few, "doc_id").select("text", "n_chars", "quality")
+    few = _columns(docs).join(few, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "n_chars")).alias("d"), F.min("quality").alias("quality")).select("d.text", "d.n_chars", "quality")
     got = few.mapInArrow(extract, "y int, stats array<double>, columns array<long>, vals array<double>").toArrow()
     size = (1 << bits) + len(STATISTICS) * (BUCKETS + 1)
     rng = np.random.default_rng(7)

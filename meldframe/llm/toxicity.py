@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalMode
     """Fits on about `sample` labelled documents chosen by a hash of doc_id.
 
     Grades: 0 for toxic = 0; a toxic document has grade 1, 2 or 3 as it holds up to 1, up to 3 or more words that the labels of the other half
-    of the sample set apart: what grades a document is not learnt from it. The labels have no grades of their own, so that severity means this. Null labels and ids and documents without label teach nothing; without any, nothing is toxic.
+    of the sample set apart: what grades a document is not learnt from it. The labels have no grades of their own, so that severity means this. Null labels and ids and documents without label teach nothing, and a repeated doc_id once, by its least text and
+    greatest label; without any, nothing is toxic.
     """
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     few = F.broadcast(hashed_sample(known, sample, known.count(), "doc_id"))
@@ -115,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalMode
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p[j] for p in per]).view(np.int64) if per else np.zeros(0, np.int64))) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists], names=["toxic", "words", "times"])
 
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic").mapInArrow(held, "toxic int, words array<long>, times array<long>").toArrow().combine_chunks()
+    rows = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = rows.select("text", "toxic").mapInArrow(held, "toxic int, words array<long>, times array<long>").toArrow().combine_chunks()
     y = (got.column("toxic").to_numpy() > 0).astype(np.int64) if len(got) else np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0]))

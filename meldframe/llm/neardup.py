@@ -34,8 +34,8 @@ from .components import components
 RUN, SMALL, LARGE = 3, 10, 8
 #: Fewer shingles than these have no other set that near.
 LEAST = 4
-#: Members of a list that are compared in one group.
-BLOCK = 512
+#: Members of a list that are compared in one group, and how far above the threshold an estimate makes a link all but certain.
+BLOCK, MARGIN = 512, 0.06
 
 
 def _signature(rows: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -124,25 +124,31 @@ def _incidence(row: np.ndarray, value: np.ndarray, members: int) -> Iterator[np.
         yield m
 
 
-def _forest(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of the heaviest trees that connect what the symmetric matrix connects; -inf is no edge, and one of +inf is not given."""
-    n = len(weight)
-    best, parent, left = np.full(n, -np.inf), np.full(n, -1), np.ones(n, bool)
-    out = []
-    for _ in range(n):
-        v = int(np.argmax(np.where(left, best, -np.inf)))
-        if best[v] == -np.inf or not left[v]:
-            v = int(np.argmax(left))  # another tree begins
-        elif best[v] < np.inf:
-            out.append((int(parent[v]), v))
-        left[v] = False
-        better = left & (weight[v] > best)
-        best[better], parent[better] = weight[v][better], v
-    return out
+def _trees(near: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees that connect what the symmetric 0-1 matrix near and equal labels connect, broadly from the first members on, so that many groups have the same
+    ones: both ends of each edge between labels, and new labels, one for each tree."""
+    adjacent = near | (label[:, None] == label[None, :])
+    tree, xs, ys = np.full(len(near), -1), [], []
+    for root in np.flatnonzero(near.any(0)).tolist():
+        if tree[root] >= 0:
+            continue
+        tree[root], front = root, np.array([root])
+        while len(front):
+            left = np.flatnonzero(tree < 0)
+            to = adjacent[np.ix_(front, left)]
+            hit = to.any(0)
+            new, parent = left[hit], front[to[:, hit].argmax(0)]
+            tree[new], front = root, new
+            across = label[parent] != label[new]
+            xs.append(parent[across])
+            ys.append(new[across])
+    alone = tree < 0
+    tree[alone] = np.searchsorted(np.unique(label), label[alone]) + len(near)
+    return np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)]), tree
 
 
 def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j), with sketches, or if exact with whole sets, as items: of each group the pairs between different components that are
+    """Rows sorted by (key, i, j, node), with sketches, or if exact with whole sets, as items: of each group the pairs between different components that are
     near enough, as trees, fewer than it has members: what they connect is what all such pairs connect. In a group of two blocks a pair has a member
     of each. sure: the estimate is over the threshold, or the sets are whole and so is their similarity; these trees also use what is connected already.
     The other trees are of all pairs but those of whole sets, and touch every member of such a pair: an estimate may be wrong either way.
@@ -171,16 +177,16 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool
         if not ok.any():
             return
         sure = ok & (whole | (both >= threshold * np.minimum(k, union)))
-        # what is certain hangs on the smallest nodes, so that many groups have the same trees; else the nearest come first
-        rank = np.argsort(np.argsort(node, kind="stable"), kind="stable")
-        star = 2 - np.minimum(rank[:, None], rank[None, :]) / len(node)
-        near = np.where(whole, star, both / np.maximum(np.minimum(k, union), 1))
-        for which, weight, inside in ((sure, near, np.inf), (ok & ~whole, star, -np.inf)):
-            if which.any():
-                edges = np.array(_forest(np.where(which, weight, np.where(other, -np.inf, inside))), np.int64).reshape(-1, 2)
-                x, y = node[edges[:, 0]], node[edges[:, 1]]
-                cx, cy, swap = comp[edges[:, 0]], comp[edges[:, 1]], x > y
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.where(swap, y, x), np.where(swap, cy, cx), np.where(swap, x, y), np.where(swap, cx, cy), np.full(len(x), inside > 0))], names=names)
+        # what is surely a link connects first, then what may just be one
+        firm = sure & (whole | (both >= (threshold + MARGIN) * np.minimum(k, union)))
+        x, y, label = _trees(firm, comp)
+        x2, y2, _ = _trees(sure & (label[:, None] != label[None, :]), label)
+        x3, y3, _ = _trees(ok & ~whole, np.arange(len(node)))
+        x, y = np.concatenate([x, x2, x3]), np.concatenate([y, y2, y3])
+        likely = np.arange(len(x)) < len(x) - len(x3)
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], comp[x], node[y], comp[y], likely)], names=names)
 
     rest: pa.Table | None = None
     for batch in rows:
@@ -213,7 +219,7 @@ def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: in
         met = met.where(F.least("lo", "lo2") < F.greatest("hi", "hi2")).select("key", "i", "j")
         every = every.unionByName(long.join(met, ["key", "i"]).withColumn("side", F.lit(0)))
         every = every.unionByName(long.withColumnRenamed("i", "j").join(met.where("i < j"), ["key", "j"]).withColumn("side", F.lit(1)))
-    dealt = every.join(items, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = every.join(items, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     found = stored(dealt.mapInArrow(lambda it: _close(it, k, threshold, exact), "a long, ca long, b long, cb long, sure boolean").distinct(), "close")
     discard(lists)
     return found

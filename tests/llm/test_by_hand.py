@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from meldframe.llm import chat, common, decontaminate, hashing_index, idcoder, langid, licences, pieces, quality, textvec, toxicity  # noqa: E402
+from meldframe.llm import chat, common, components, decontaminate, hashing_index, idcoder, langid, licences, pieces, quality, textvec, toxicity  # noqa: E402
 
 from .test_text import ODD, SCHEMA, brute_components, edit, words  # noqa: E402
 
@@ -203,6 +203,20 @@ def test_spans_of_the_query(spark):
         slow.plain = True
 
 
+@pytest.mark.parametrize("fits", [0, 30, 10**6])
+def test_components_by_rounds_and_in_one_task(spark, fits):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 180)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (None, 3)]
+    label = {x: x for p in links for x in p if x is not None}
+    for _ in range(len(label)):
+        for a, b in links:
+            if a is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), fits=fits).collect()}
+    assert got == {k: v for k, v in label.items() if any(None not in p and k in p and p[0] != p[1] for p in links)}
+    assert components.components(spark.createDataFrame([], "a long, b long"), fits=fits).count() == 0
+
+
 def test_vectors_of_every_length(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 5)] + [(20, [1.0, 2.0, 3.0]), (21, [0.0, 1.0, 0.0]), (22, [5.0, 0.0, 0.0]), (40, [7.0])]
     got = [tuple(r) for r in hashing_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()]

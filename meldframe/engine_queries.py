@@ -26,7 +26,9 @@ from .queries import QUERIES as QUERIES
 from .sources.database import Atoms, Database, FileImport, FloorMismatch, RowView, Table, Tenants, restore
 from .sources.files import is_bad_path, read_all
 from .sources.folder import workspace
+from .sources.keyvalue import KeyValue
 from .streaming import feed
+from .streaming.mailbox import Mailbox, PartialAnswer
 
 USERS = TableSchema(
     "users",
@@ -727,3 +729,51 @@ def element_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = ops(spark, sf_dir)
     t.merge({"orset": o.select("pk", F.lit("numbers").alias("col"), F.unhex(F.lpad(F.hex(F.col("event_id") % 12), 4, "0")).alias("elem"), F.col("event_id").cast("string").alias("tag"))})
     return t.wide().select("pk", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"))
+
+
+# Keys and messages.
+
+
+@registered("SELECT n_name AS key, 'nation ' || n_nationkey AS value FROM nation WHERE n_regionkey NOT IN (1, 2) AND n_name >= 'A' UNION ALL SELECT n_name, 'again' FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 2)")
+def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys set for good, for a time that is over, deleted, and set again."""
+    store = KeyValue(Database.open(spark, workspace(spark)))
+    rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    gone = [r["n_name"] for r in rows if r["n_regionkey"] == 2]
+    with store.db.update():
+        for r in rows:
+            store.set(r["n_name"], f"nation {r['n_nationkey']}".encode(), 10 if r["n_regionkey"] == 1 else 0, now_millis=1000)
+        for key in gone:
+            store.delete(key)
+        store.set(gone[0], b"again")
+    assert store.get(gone[0]) == b"again" and store.get(gone[1]) is None and store.get("no key") is None
+    return store.scan(now_millis=12_000, desc=True).select("key", F.decode("value", "utf-8").alias("value"))
+
+
+@registered(_values([("b", "heartbeat", "a"), ("c", "heartbeat", "a"), ("b", "raw_delta", "a"), ("a", "gc_prepare_ack", "b")], "node, kind, sender"))
+def transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message to one node, one to all, and another tenant that sees neither."""
+    at = workspace(spark)
+    boxes = {n: Mailbox(spark, at, "t", n) for n in "abc"} | {"x": Mailbox(spark, at, "other", "b")}
+    boxes["a"].broadcast("heartbeat", clock=5)
+    boxes["a"].send("b", "raw_delta", tbl="users", pk="p", columns=["c"], payload=b"1")
+    boxes["b"].send("a", "gc_prepare_ack", success=True)
+    return lattice.union([b.received().select(F.lit(n).alias("node"), "kind", "sender") for n, b in boxes.items()])
+
+
+@registered(f"SELECT {_pk_sql('user_id')} AS pk, CAST(count(*) AS VARCHAR) AS payload, 'whole' AS first_try, 'partial' AS second_try FROM events GROUP BY user_id")
+def fetch_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request whose answer comes in parts; one that never ends is an error and not a shorter answer."""
+    at = workspace(spark)
+    asker, server = Mailbox(spark, at, "t", "a"), Mailbox(spark, at, "t", "b")
+    counts = _events(spark, sf_dir).groupBy(pk_of(F.col("user_id")).alias("pk")).count().collect()
+    parts = [{"tbl": "users", "pk": r["pk"], "payload": str(r["count"]).encode()} for r in counts]
+    first, second = (asker.send("b", "fetch_raw_request", tbl="users") for _ in range(2))
+    server.answer(first, "a", "fetch_raw_response", parts)
+    server.answer(second, "a", "fetch_raw_response", parts[1:], ended=False)
+    try:
+        asker.collect(second, 0.5)
+        ended = "whole"
+    except PartialAnswer:
+        ended = "partial"
+    return asker.collect(first).select("pk", F.decode("payload", "utf-8").alias("payload"), F.lit("whole").alias("first_try"), F.lit(ended).alias("second_try"))

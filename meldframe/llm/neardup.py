@@ -6,7 +6,7 @@
    among the first `indexed`, and for runs of two of sets of under `SMALL`. Two sets of up to `indexed` shingles over the threshold always share a
    run (`indexed` being under k); larger ones but for a chance of about 0.70**indexed (tests/llm counts misses). Texts with one common passage rarely do.
 3. Lists generate overlaps. First each list's members meet one hub, whatever the length of the list; links found so make components, and
-   lists that lie within one component are done. In the others the overlaps of all sketches from different components are counted within the task; a
+   lists that lie within one component are done. In the others, an eighth of them first, the overlaps of all sketches from different components are counted within the task; a
    long list is cut into blocks by set size, and each pair of blocks whose sizes can match is a group of its own. The overlap of two sketches within
    the smallest k values of their union estimates the similarity; what is more than five standard deviations below the threshold goes.
 4. What leaves a group is trees, not pairs: those of pairs estimated over the threshold are links if the full sets confirm them. Trees of all pairs make
@@ -278,11 +278,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     met = lists.join(hub, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
     met = met.where("a <> b").where(100 * F.least("na", "nb") >= round(100 * threshold) * F.greatest("na", "nb")).select("a", F.col("a").alias("ca"), "b", F.col("b").alias("cb")).distinct()
     link(stored(estimated(met, heads, k, threshold), "hubs"))
-    # the likely links that are left, and which nodes may have others
-    found = _met(up_to_date(lists, 0), heads.select("node", F.col("sketch").alias("items")), k, threshold, block, False)
+    # the likely links that are left, by some of the lists, as those of large groups share most; then by all that aren't one component by then
+    for share in (8, 1):
+        some = up_to_date(lists.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), 0)
+        found = _met(some, heads.select("node", F.col("sketch").alias("items")), k, threshold, block, False)
+        since = len(merges)
+        link(stored(found.where("sure").drop("sure"), "likely"))
+        if share > 1:
+            discard(found)
     discard(lists)
-    since = len(merges)
-    link(stored(found.where("sure").drop("sure"), "likely"))
     # clusters of nodes that may have others: whole sets within each
     maybe = components(found.where("not sure").select("a", "b"))
     if not maybe.isEmpty():

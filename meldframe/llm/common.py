@@ -49,8 +49,9 @@ def small_batches(spark: SparkSession, rows: int = 400) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, parted so that each has `most` bytes of text or a single row: numpy's working memory is a multiple of that."""
+def bounded(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches, parted so that each has `most` bytes of text or a single row: numpy's working memory is a multiple of that, and textvec keeps two
+    arrays of the next power of two of 8 bytes."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start = total = 0

@@ -147,11 +147,11 @@ def _trees(near: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)]), tree
 
 
-def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool) -> Iterator[pa.RecordBatch]:
+def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool, others: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j, node), with sketches, or if exact with whole sets, as items: of each group the pairs between different components that are
     near enough, as trees, fewer than it has members: what they connect is what all such pairs connect. In a group of two blocks a pair has a member
     of each. sure: the estimate is over the threshold, or the sets are whole and so is their similarity; these trees also use what is connected already.
-    The other trees are of all pairs but those of whole sets, and touch every member of such a pair: an estimate may be wrong either way.
+    The other trees, if others, are of all pairs but those of whole sets, and touch every member of such a pair: an estimate may be wrong either way.
 
     The overlaps are products of the group's 0-1 matrix (members by values held more than once) with itself.
     """
@@ -181,7 +181,7 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool
         firm = sure & (whole | (both >= (threshold + MARGIN) * np.minimum(k, union)))
         x, y, label = _trees(firm, comp)
         x2, y2, _ = _trees(sure & (label[:, None] != label[None, :]), label)
-        x3, y3, _ = _trees(ok & ~whole, np.arange(len(node)))
+        x3, y3, _ = _trees(ok & ~whole & others, np.arange(len(node)))
         x, y = np.concatenate([x, x2, x3]), np.concatenate([y, y2, y3])
         likely = np.arange(len(x)) < len(x) - len(x3)
         swap = node[x] > node[y]
@@ -203,7 +203,7 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool
         yield from pairs(rest.combine_chunks())
 
 
-def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: int, exact: bool) -> DataFrame:
+def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: int, exact: bool, others: bool = True) -> DataFrame:
     """What _close() finds in lists (key, node, n, component) with items (node, items): lists of up to `block` members are a group each; longer ones are cut
     into blocks by set size, and blocks meet in twos, with themselves too, if their sizes can match and their components aren't all the same."""
     per = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
@@ -220,7 +220,7 @@ def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: in
         every = every.unionByName(long.join(met, ["key", "i"]).withColumn("side", F.lit(0)))
         every = every.unionByName(long.withColumnRenamed("i", "j").join(met.where("i < j"), ["key", "j"]).withColumn("side", F.lit(1)))
     dealt = every.join(items, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    found = stored(dealt.mapInArrow(lambda it: _close(it, k, threshold, exact), "a long, ca long, b long, cb long, sure boolean").distinct(), "close")
+    found = stored(dealt.mapInArrow(lambda it: _close(it, k, threshold, exact, others), "a long, ca long, b long, cb long, sure boolean").distinct(), "close")
     discard(lists)
     return found
 
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     # the likely links that are left, by some of the lists, as those of large groups share most; then by all that aren't one component by then
     for share in (8, 1):
         some = up_to_date(lists.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), 0)
-        found = _met(some, heads.select("node", F.col("sketch").alias("items")), k, threshold, block, False)
+        found = _met(some, heads.select("node", F.col("sketch").alias("items")), k, threshold, block, False, share == 1)
         since = len(merges)
         link(stored(found.where("sure").drop("sure"), "likely"))
         if share > 1:

@@ -6,11 +6,11 @@
    among the first `indexed`, and for runs of two of sets of under `SMALL`. Two sets of up to `indexed` shingles over the threshold always share a
    run (`indexed` being under k); larger ones but for a chance of about 0.70**indexed (tests/llm counts misses). Texts with one common passage rarely do.
 3. Lists generate overlaps. First each list's members meet one hub, whatever the length of the list; links found so make components, and
-   lists that lie within one component are done. In the others, an eighth of them first, the overlaps of all sketches from different components are counted within the task; a
+   lists that lie within one component are done. In the others, an eighth of them first and then the rest, the overlaps of all sketches from different components are counted within the task; a
    long list is cut into blocks by set size, and each pair of blocks whose sizes can match is a group of its own. The overlap of two sketches within
    the smallest k values of their union estimates the similarity; what is more than five standard deviations below the threshold goes.
 4. What leaves a group is trees, not pairs: those of pairs estimated over the threshold are links if the full sets confirm them. Trees of all pairs make
-   clusters; within those that aren't one component by then full sets are compared, again in blocks and with trees as the result. Full sets are made for the documents that
+   clusters; what the first lists have put into one cluster needs no further trees in the rest; within those that aren't one component by then full sets are compared, again in blocks and with trees as the result. Full sets are made for the documents that
    occur in such pairs alone.
 """
 
@@ -87,7 +87,7 @@ def _least(threshold: float, union, size, root=np.sqrt, most=np.maximum, least=n
 def estimated(pairs: DataFrame, heads: DataFrame, k: int, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those that the union of their bottom-k sketches doesn't rule out."""
     of = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    met = few(pairs).join(of("a"), "a").join(of("b"), "b")
     union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -107,7 +107,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"))
     shared = F.size(F.array_intersect("a_items", "b_items"))
     exact = 100 * shared >= round(100 * threshold) * (F.size("a_items") + F.size("b_items") - shared)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(exact).select(*pairs.columns)
+    return few(pairs).join(of("a"), "a").join(of("b"), "b").where(exact).select(*pairs.columns)
 
 
 def _incidence(row: np.ndarray, value: np.ndarray, members: int) -> Iterator[np.ndarray]:
@@ -147,18 +147,19 @@ def _trees(near: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)]), tree
 
 
-def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool, others: bool = True) -> Iterator[pa.RecordBatch]:
+def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j, node), with sketches, or if exact with whole sets, as items: of each group the pairs between different components that are
     near enough, as trees, fewer than it has members: what they connect is what all such pairs connect. In a group of two blocks a pair has a member
     of each. sure: the estimate is over the threshold, or the sets are whole and so is their similarity; these trees also use what is connected already.
-    The other trees, if others, are of all pairs but those of whole sets, and touch every member of such a pair: an estimate may be wrong either way.
+    The other trees are of all pairs but those of whole sets, as an estimate may be wrong either way. They connect clusters, and touch every member of such
+    a pair that is still a cluster of its own; what is in one cluster by then has been touched.
 
     The overlaps are products of the group's 0-1 matrix (members by values held more than once) with itself.
     """
     names = ["a", "ca", "b", "cb", "sure"]
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, n, comp, side = (t.column(c).to_numpy() for c in ("node", "n", "component", "side"))
+        node, n, comp, cluster, side = (t.column(c).to_numpy() for c in ("node", "n", "component", "cluster", "side"))
         if len(node) < 2 or (comp == comp[0]).all():
             return
         lists = t.column("items").combine_chunks()
@@ -181,7 +182,7 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool
         firm = sure & (whole | (both >= (threshold + MARGIN) * np.minimum(k, union)))
         x, y, label = _trees(firm, comp)
         x2, y2, _ = _trees(sure & (label[:, None] != label[None, :]), label)
-        x3, y3, _ = _trees(ok & ~whole & others, np.arange(len(node)))
+        x3, y3, _ = _trees(ok & ~whole & (cluster[:, None] != cluster[None, :]), cluster)
         x, y = np.concatenate([x, x2, x3]), np.concatenate([y, y2, y3])
         likely = np.arange(len(x)) < len(x) - len(x3)
         swap = node[x] > node[y]
@@ -203,16 +204,16 @@ def _close(rows: Iterator[pa.RecordBatch], k: int, threshold: float, exact: bool
         yield from pairs(rest.combine_chunks())
 
 
-def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: int, exact: bool, others: bool = True) -> DataFrame:
-    """What _close() finds in lists (key, node, n, component) with items (node, items): lists of up to `block` members are a group each; longer ones are cut
+def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: int, exact: bool) -> DataFrame:
+    """What _close() finds in lists (key, node, n, component, cluster) with items (node, items): lists of up to `block` members are a group each; longer ones are cut
     into blocks by set size, and blocks meet in twos, with themselves too, if their sizes can match and their components aren't all the same."""
     per = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
-    lists = stored(lists.select("key", "node", "n", "component").join(per, "key"), "open")
-    every = lists.where(F.col("members") <= block).select("key", "node", "n", "component", *(F.lit(0).alias(c) for c in ("i", "j", "side")))
+    lists = stored(lists.select("key", "node", "n", "component", "cluster").join(per, "key"), "open")
+    every = lists.where(F.col("members") <= block).select("key", "node", "n", "component", "cluster", *(F.lit(0).alias(c) for c in ("i", "j", "side")))
     long = lists.where(F.col("members") > block)
     if not long.isEmpty():
         place = F.row_number().over(W.partitionBy("key").orderBy("n", "node"))
-        long = long.select("key", "node", "n", "component", F.floor((place - 1) / block).cast("int").alias("i"))
+        long = long.select("key", "node", "n", "component", "cluster", F.floor((place - 1) / block).cast("int").alias("i"))
         blocks = long.groupBy("key", "i").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         other = blocks.select("key", F.col("i").alias("j"), F.col("least").alias("least2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
         met = blocks.join(other, "key").where("i <= j").where(100 * F.col("most") >= round(100 * threshold) * F.col("least2"))
@@ -220,14 +221,14 @@ def _met(lists: DataFrame, items: DataFrame, k: int, threshold: float, block: in
         every = every.unionByName(long.join(met, ["key", "i"]).withColumn("side", F.lit(0)))
         every = every.unionByName(long.withColumnRenamed("i", "j").join(met.where("i < j"), ["key", "j"]).withColumn("side", F.lit(1)))
     dealt = every.join(items, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    found = stored(dealt.mapInArrow(lambda it: _close(it, k, threshold, exact, others), "a long, ca long, b long, cb long, sure boolean").distinct(), "close")
+    found = stored(dealt.mapInArrow(lambda it: _close(it, k, threshold, exact), "a long, ca long, b long, cb long, sure boolean").distinct(), "close")
     discard(lists)
     return found
 
 
 def _merged(df: DataFrame, merge: DataFrame, column: str = "component") -> DataFrame:
     """df with its components replaced by those that merge (node, component) puts them into."""
-    to = merge.select(F.col("node").alias(column), F.col("component").alias("_to"))
+    to = few(merge.select(F.col("node").alias(column), F.col("component").alias("_to")))
     return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
@@ -277,21 +278,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     hub = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
     met = lists.join(hub, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
     met = met.where("a <> b").where(100 * F.least("na", "nb") >= round(100 * threshold) * F.greatest("na", "nb")).select("a", F.col("a").alias("ca"), "b", F.col("b").alias("cb")).distinct()
-    link(stored(estimated(met, heads, k, threshold), "hubs"))
-    # the likely links that are left, by some of the lists, as those of large groups share most; then by all that aren't one component by then
-    for share in (8, 1):
-        some = up_to_date(lists.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), 0)
-        found = _met(some, heads.select("node", F.col("sketch").alias("items")), k, threshold, block, False, share == 1)
-        since = len(merges)
-        link(stored(found.where("sure").drop("sure"), "likely"))
-        if share > 1:
-            discard(found)
-    discard(lists)
+    met = stored(met, "met")
+    hubs = stored(estimated(met, heads, k, threshold), "hubs")
+    discard(met)
+    link(hubs)
+    # the likely links that are left, by some of the lists, as those of large groups share most; then by the rest that aren't one component by then
+    first, sketches = F.pmod(F.xxhash64("key"), F.lit(8)) == 0, heads.select("node", F.col("sketch").alias("items"))
+    others: list[DataFrame] = []
+    maybe = None
+    for some in (lists.where(first), lists.where(~first)):
+        some = up_to_date(some, 0).withColumn("cluster", F.col("node"))
+        found = _met(some if maybe is None else _merged(some, maybe, "cluster"), sketches, k, threshold, block, False)
+        others.append(stored(found.where("not sure").drop("sure"), "others"))
+        likely = stored(found.where("sure").drop("sure"), "likely")
+        discard(found)
+        link(likely)
+        if maybe is None:
+            maybe = components(others[0].select("a", "b"))
+    discard(lists, maybe)
     # clusters of nodes that may have others: whole sets within each
-    maybe = components(found.where("not sure").select("a", "b"))
+    pairs = others[0].unionByName(others[1])
+    maybe = components(pairs.select("a", "b"))
     if not maybe.isEmpty():
-        of = found.where("not sure").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("e")).select("e.*").distinct()
-        clusters = maybe.select("node", F.col("component").alias("key")).join(up_to_date(of, since), "node").join(heads.select("node", "n").distinct(), "node")
+        clusters = few(maybe.select("node", F.col("component").alias("key"))).join(heads.select("node", "n").distinct(), "node")
+        clusters = up_to_date(clusters.withColumns({"component": F.col("node"), "cluster": F.col("node")}), 0)
         open_ = clusters.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         clusters = stored(clusters.join(open_, "key"), "clusters")
         if not clusters.isEmpty():
@@ -299,7 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
             merge(_met(clusters, sets, k, threshold, block, True))
             discard(sets)
         discard(clusters)
-    discard(maybe, found)
+    discard(maybe, *others)
 
     of = up_to_date(classes.withColumn("component", F.col("node")), 0)
     of = of.select(*(F.col(c).alias(f"_{c}") for c in same), F.col("component").alias("_component"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,26 @@ def test_runs_miss_no_pair_at_the_threshold(spark):
     assert met == sets.groupBy("pair").count().where("count = 2").count() > 5000
 
 
+def test_lists_of_one_cluster_leave_no_trees():
+    """Members that may be near: a group leaves their tree once; where all are of one cluster by then it leaves none, and one that is not yet is tied to it."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.choice(2**31 - 1, 150, replace=False))
+    # each lacks 15 values of its own: estimated near 0.8, and not whole
+    held = [np.delete(base, rng.choice(128, 15, replace=False))[:128].astype(np.int32) for _ in range(30)]
+
+    def rows(cluster):
+        columns = {"key": [1] * 30, "node": list(range(30)), "n": [400] * 30, "component": list(range(30)), "cluster": cluster, "i": [0] * 30, "j": [0] * 30, "side": [0] * 30}
+        yield pa.RecordBatch.from_pydict(columns | {"items": pa.array([h.tolist() for h in held], pa.list_(pa.int32()))})
+
+    def others(cluster):
+        return [(a, b) for batch in neardup._close(rows(cluster), 128, 0.8, False) for a, b, sure in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sure")), strict=True) if not sure]
+
+    assert len(others(list(range(30)))) == 29
+    assert others([0] * 30) == []
+    ((a, b),) = others([0] * 29 + [29])
+    assert b == 29 and a < 29
+
+
 def test_large_groups_leave_as_trees(spark):
     """Lists of thousands of members: exact components, and no more rows between tasks than members."""
     rng, rows = random.Random(7), []

@@ -17,8 +17,8 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, of which no learned language is likely, or that are further from theirs than training documents are, go: null and empty
-    texts among them. Of repeated rows all stay or all go; ids and other columns are only passed on; without rows or without labelled languages none stay."""
-    model = langid.train(docs, PIECES)
+    texts among them. Model and limits are learnt from all training documents, not a sample. Of repeated rows all stay or all go; ids and other columns are only passed on; without rows or without labelled languages none stay."""
+    model = langid.train_on_all(docs, PIECES)
     limits = langid.limits(docs, model)
 
     def likely(texts: list[str | None]) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import bounded, id_crc, small_batches
+from .common import bounded, discard, id_crc, small_batches, stored
 from .pieces import MARK, codec
 
 UNKNOWN = "und"
@@ -178,12 +178,14 @@ class LanguageModel:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)], np.where(some, 1 / np.exp(like).sum(1), 0.0), best, rate, size
 
 
-def _sampled(docs: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
-    """The languages and the training documents (lang, text)."""
+def _sampled(docs: DataFrame, sample: int | None) -> tuple[list[str], DataFrame]:
+    """The languages and the training documents (lang, text): about `sample` of each language, or all."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(id_crc() % 4 != 2)
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return [], known.select("lang", "text")
+    if sample is None:
+        return sorted(sizes), known.select("lang", "text")
     rates = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, sample / sizes[k]))))
     unit = (F.xxhash64(F.lit(77), "doc_id").bitwiseAND(0xFFFFFF)) / float(1 << 24)
     return sorted(sizes), known.where(unit < rates[F.col("lang")]).select("lang", "text")
@@ -203,9 +205,10 @@ class Limits:
         return (size == 0) | (self.mean[best] - rate <= self.most + self.short * np.sqrt(self.varies[best] / np.maximum(size, 1)))
 
 
-def limits(docs: DataFrame, model: LanguageModel, sample: int = 400, margin: float = 3.0, share: float = 0.999) -> Limits:
+def limits(docs: DataFrame, model: LanguageModel, sample: int | None = None, margin: float = 3.0, share: float = 0.999) -> Limits:
     """Learns from the training documents that train() takes what log likelihood per character texts of their languages have: a text may lie as far
-    under the mean as `margin` times what `share` of the longer half do. Without training documents every text holds."""
+    under the mean as `margin` times what `share` of the longer half do. Medians and shares are of all these documents, by Spark's percentile_approx: with up
+    to 10,000 or 100,000 values they are values of the documents, beyond that within 1 / 10,000 or 1 / 100,000 of the rank. Without training documents every text holds."""
     langs, picked = _sampled(docs, sample)
 
     def judged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,19 +221,86 @@ def limits(docs: DataFrame, model: LanguageModel, sample: int = 400, margin: flo
     if not langs:
         return out
     small_batches(docs.sparkSession)
-    got = picked.mapInArrow(judged, "best long, rate double, size double").where("size > 0").toArrow()
-    best, rate, size = (got.column(c).to_numpy() for c in ("best", "rate", "size"))
-    for j in range(n):
-        r, s = rate[best == j], size[best == j]
-        if len(r):
-            out.mean[j] = (r * s).sum() / s.sum()
-            out.varies[j] = np.median((r - out.mean[j]) ** 2 * s) / 0.455  # the median of a squared standard normal
-    if len(rate):
-        long = size >= np.median(size)
-        out.most = margin * max(0.3, float(np.quantile((out.mean[best] - rate)[long], share)))
+    got = stored(picked.mapInArrow(judged, "best long, rate double, size double").where("size > 0"), "judged")
+    means = got.groupBy("best").agg((F.sum(F.col("rate") * F.col("size")) / F.sum("size")).alias("mean"))
+    for r in means.collect():
+        out.mean[r["best"]] = r["mean"]
+    under = F.element_at(F.array(*(F.lit(float(m)) for m in out.mean)), F.col("best").cast("int") + 1) - F.col("rate")
+    got_under = got.select("best", "size", under.alias("under"))
+    for r in got_under.groupBy("best").agg(F.percentile_approx(F.col("under") * F.col("under") * F.col("size"), 0.5, 10_000).alias("median")).collect():
+        out.varies[r["best"]] = r["median"] / 0.455  # the median of a squared standard normal
+    middle = got.agg(F.percentile_approx("size", 0.5, 10_000)).first()[0]
+    if middle is not None:
+        out.most = margin * max(0.3, got_under.where(F.col("size") >= middle).agg(F.percentile_approx("under", share, 100_000)).first()[0])
+    discard(got)
     return out
 
 
+#: Distinct words that EM on the executors takes at once.
+_WORDS = 20_000
+
+
+def _learnt(counted: DataFrame, path: str, langs: list[str], rounds: int) -> np.ndarray:
+    """Log probabilities by EM over a stored table of all words (lang, word, n): each round is a pass in which tasks add up the expected uses of the pieces, so
+    that the driver holds numbers by piece and language, whatever the number of words."""
+    size, of = vocabulary(path).size, {x: j for j, x in enumerate(langs)}
+    logp = np.full((size, len(langs)), -np.log(size))
+    for _ in range(rounds):
+
+        def uses(rows: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
+            total, words, cells, times = np.zeros_like(logp), [], [], []
+
+            def add() -> None:
+                counts = np.zeros((len(words), len(langs)))
+                counts[np.arange(len(words)), cells] = times
+                ends = np.cumsum([len(w) + 1 for w in words]) - 1
+                buf = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+                total[:] += expectation(vocabulary(path), logp, buf, ends - np.array([len(w) for w in words], np.int64), ends, counts)
+                for x in (words, cells, times):
+                    x.clear()
+
+            for b in rows:
+                words += b.column("word").to_pylist()
+                cells += [of[x] for x in b.column("lang").to_pylist()]
+                times += b.column("n").to_pylist()
+                if len(words) >= _WORDS:
+                    add()
+            if words:
+                add()
+            piece, lang = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "uses"])
+
+        summed = counted.mapInArrow(uses, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toArrow()
+        every = np.full_like(logp, 0.01)
+        # rounded, as sums differ in their last digits by the order of tasks
+        every[summed.column("piece").to_numpy(), summed.column("lang").to_numpy()] += np.round(summed.column("uses").to_numpy(), 6)
+        logp = np.log(every / every.sum(0))
+    return logp
+
+
+def train_on_all(docs: DataFrame, path: str, rounds: int = 4) -> LanguageModel:
+    """As train(), from every document with a language whose crc32(doc_id as text) mod 4 is not 2. Words are counted by batch and then by Spark."""
+    langs, picked = _sampled(docs, None)
+    if not langs:
+        return LanguageModel(path, langs, np.full((vocabulary(path).size, 0), 0.0))
+
+    def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(rows):
+            w = textvec.words([(t or "").lower() for t in batch.column("text").to_pylist()], textvec.NOT_LETTERS, lower=False)
+            raw, said = w.buf.tobytes(), np.repeat(np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64), np.diff(w.first))
+            for j, lang in enumerate(langs):
+                own = np.flatnonzero(said == j)
+                _, one, n = np.unique(w.hash[own], return_index=True, return_counts=True)
+                each = [raw[s:e] for s, e in zip(w.start[own[one]].tolist(), w.end[own[one]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(each), pa.string()), pa.array(each, pa.binary()), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
+
+    small_batches(docs.sparkSession)
+    counted = stored(picked.mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    logp = _learnt(counted, path, langs, rounds)
+    discard(counted)
+    return LanguageModel(path, langs, logp)
+
+
 def train(docs: DataFrame, path: str, sample: int = 400, rounds: int = 4) -> LanguageModel:
     """Learns from text and lang of documents with a language whose crc32(doc_id as text) mod 4 is not 2.
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -277,3 +278,18 @@ def test_pipeline_by_hand(spark, tmp_path):
     got = {r["doc_id"]: list(r["ids"]) for r in pipeline.run(spark, at).collect()}
     assert got == {d: [*sp.encode(t), 2] for d, t in kept}
     assert 90 < len(got) < 130
+
+
+def test_language_learns_from_all_documents(spark):
+    """The model is that of train() without a sample's bound, not that of a sample, and the limits' means are those of all training documents."""
+    rows = [(i, f"the water and the house number {'qvxj' * 3 if i == 1400 else 'tree'}" if i % 2 == 0 else "der wald und das haus", "en" if i % 2 == 0 else "de") for i in range(1500)]
+    rows += [(5000 + i, "zzzz", None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model, whole, part = langid.train_on_all(docs, PIECES), langid.train(docs, PIECES, sample=10**9), langid.train(docs, PIECES, sample=5)
+    assert model.langs == whole.langs == ["de", "en"]
+    assert np.allclose(model.logp, whole.logp, atol=1e-4) and not np.allclose(model.logp, part.logp, atol=1e-4)
+    picked = [(t, x) for d, t, x in rows if x and zlib.crc32(str(d).encode()) % 4 != 2]
+    _, _, best, rate, size = model.judge([t for t, _ in picked])
+    limits = langid.limits(docs, model)
+    assert np.allclose(limits.mean, [(rate * size)[best == j].sum() / size[best == j].sum() for j in (0, 1)])
+    assert langid.train_on_all(docs.limit(0), PIECES).langs == []

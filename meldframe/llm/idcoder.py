@@ -27,14 +27,14 @@ from . import textvec
 from .common import bounded, small_batches, stored
 
 #: Ids in a block at least and at most, blocks coded in step, and ids between places.
-SHORTEST, LONGEST, TOGETHER, STRIDE = 1 << 12, 1 << 15, 384, 64
+SHORTEST, LONGEST, TOGETHER, STRIDE = 1 << 12, 1 << 15, 512, 64
 #: Bits of a candidate's weight and of the slots of an order-0 distribution.
 _WEIGHT, _SLOTS = 12, 13
-_TOP, _LOW, _NEW = 1 << 48, 1 << 32, 1 << 16
+_TOP, _LOW, _NEW = 1 << 62, 1 << 30, 1 << 16
 #: Slots of the tables of order 1 and 2, and what the distribution and a candidate weigh at least.
 _ROWS, _LEAST_REST, _LEAST = (1 << 12, 1 << 14), 96, 8
 #: By the counts of order 2 and 1: outcomes as if seen before for order 2, order 1 and neither.
-_PRIOR = np.array([[1 + 3 * two, 1 + 2 * one, 8] for two in range(4) for one in range(4)], np.int64)
+_PRIOR = np.array([[1 + 3 * two, 1 + 2 * one, 8] for two in range(4) for one in range(4)], np.int64).T
 BLOCKS = "part int, block long, doc_ids array<long>, pieces array<int>, lengths array<int>, n_ids int, ids_crc long, payload binary, payload_crc long"
 
 
@@ -45,14 +45,15 @@ class _Model:
         self.tables = [np.zeros(n * rows, np.int32) for rows in _ROWS]
         self.base = [np.arange(n, dtype=np.int64) * rows for rows in _ROWS]
         self.lane = np.arange(n, dtype=np.int64) * 16
-        self.seen = np.tile(_PRIOR, (n, 1))
+        self.seen = np.tile(_PRIOR, (1, n))
         self._weigh()
 
     def _weigh(self) -> None:
         """Ends of the ranges of both candidates for each pair of counts, in 1 << _WEIGHT."""
-        share = (self.seen[:, :2] << _WEIGHT) // self.seen.sum(1, keepdims=True)
-        first = np.clip(share[:, 0], _LEAST, (1 << _WEIGHT) - _LEAST_REST - _LEAST)
-        second = np.clip(first + share[:, 1], first + _LEAST, (1 << _WEIGHT) - _LEAST_REST)
+        two, one, neither = self.seen
+        total = two + one + neither
+        first = np.minimum(np.maximum((two << _WEIGHT) // total, _LEAST), (1 << _WEIGHT) - _LEAST_REST - _LEAST)
+        second = np.minimum(first + np.maximum((one << _WEIGHT) // total, _LEAST), (1 << _WEIGHT) - _LEAST_REST)
         self.ends = first << 16 | second
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -69,12 +70,16 @@ class _Model:
         """Takes in the ids (places by blocks, those from active on in a place are none) for which predict() gave the rest."""
         ids = ids.astype(np.int32)
         by_two, by_one = (two >> 4) == ids, (one >> 4) == ids
-        outcome = row * 3 + 2
-        outcome -= by_one
-        np.copyto(outcome, row * 3, where=by_two)
-        pick = slice(None) if active[-1] == ids.shape[1] else np.arange(ids.shape[1]) < active[:, None]
-        self.seen += np.bincount(outcome[pick].ravel(), minlength=self.seen.size).reshape(-1, 3) * 4
-        self.seen = np.where(self.seen.sum(1, keepdims=True) > 4000, (self.seen + 1) >> 1, self.seen)
+        n = self.seen.shape[1]
+        outcome = row + 2 * n
+        outcome -= by_one * np.int64(n)
+        np.copyto(outcome, row, where=by_two)
+        whole = active[-1] == ids.shape[1]
+        pick = slice(None) if whole else np.arange(ids.shape[1]) < active[:, None]
+        self.seen += np.bincount(outcome.ravel() if whole else outcome[pick], minlength=3 * n).reshape(3, n) * 4
+        old = self.seen.sum(0) > 4000
+        if old.any():
+            self.seen[:, old] = (self.seen[:, old] + 1) >> 1
         self._weigh()
         for table, at, held, good, unit in ((self.tables[0], at_one, one, by_one, 1), (self.tables[1], at_two, two, by_two, 4)):
             count = held & 3 * unit
@@ -99,17 +104,28 @@ def _distribution(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From a block's ids so far: the symbols, their slots (1 << _SLOTS in all) and where these begin. The last symbol, _NEW, is any other id: so are
     the seldom ones of more than half as many symbols as slots."""
     whole = 1 << _SLOTS
-    count = np.bincount(ids, minlength=1)
-    symbols = np.flatnonzero(count > 0)
-    count = count[symbols]
-    new = whole * (int((count == 1).sum()) + 1) // (len(ids) + 2)  # an id is new as often as those seen once are
+    if len(ids) < 2000:  # sorting these takes less than going through all ids there may be
+        ids = np.sort(ids)
+        edge = np.ones(len(ids) + 1, bool)
+        np.not_equal(ids[1:], ids[:-1], out=edge[1:-1])
+        edge = edge.nonzero()[0]
+        symbols, count = ids.take(edge[:-1]), edge[1:] - edge[:-1]
+    else:
+        count = np.bincount(ids)
+        symbols = (count != 0).nonzero()[0]
+        count = count.take(symbols)
+    new = whole * (np.count_nonzero(count == 1) + 1) // (len(ids) + 2)  # an id is new as often as those seen once are
     if len(symbols) > whole // 2:
         best = np.sort(np.argsort(-count, kind="stable")[: whole // 2])
         symbols, count = symbols[best], count[best]
     room = whole - len(symbols) - min(whole // 2, max(16, new))
-    size = np.append(1 + count * room // max(1, int(count.sum())), 0)
-    size[-1] = whole - int(size.sum())
-    return np.append(symbols, _NEW), size, np.cumsum(size) - size
+    n = len(symbols)
+    some, size = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
+    some[:n], some[n] = symbols, _NEW
+    np.floor_divide(count * room, max(1, int(count.sum())), out=size[:n])
+    size[:n] += 1
+    size[n] = whole - int(size[:n].sum())
+    return some, size, np.cumsum(size) - size
 
 
 def _lanes(sizes: list[int]) -> tuple[list[int], np.ndarray, int, np.ndarray]:
@@ -129,21 +145,24 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         ids[2 : size[j] + 2, j] = blocks[i]
     model = _Model(n)
     low, width = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
-    words, held = np.zeros((2 * STRIDE + 8, n), np.int32), np.zeros(n, np.int64)
-    table, new_at, plain, made = np.empty(1 << 16, np.int32), np.zeros(n, np.int64), [], 0
+    words, held = np.zeros((2 * STRIDE + 8) * n, np.int64), np.arange(n, dtype=np.int64)  # of each block every n-th from its own on, and its next
+    table, new_at, plain, made = np.full(1 << 16, -1, np.int32), np.zeros(n, np.int64), [], 0
     places = _places(most)
     for i, (begin, end, anew) in enumerate(places):
         some = int(active[begin])
         if anew:  # first slot << 14 | slots of all ids until the distribution is made anew again
             made, until = begin, next((p for p, _, again in places[i + 1 :] if again), most)
-            sofar, coming = np.ascontiguousarray(ids[2 : begin + 2, :some].T), np.ascontiguousarray(ids[begin + 2 : until + 2, :some].T)
-            code = np.empty((until - begin, some), np.int32)
+            code = np.zeros((some, until - begin), np.int32)
             for j in range(some):
-                symbols, slots, first = _distribution(sofar[j])
-                table[:] = first[-1] << 14 | slots[-1]
-                table[symbols[:-1]] = (first << 14 | slots)[:-1]
+                own = blocks[order[j]]
+                symbols, slots, first = _distribution(own[:begin])
+                both = first << 14 | slots
+                table[symbols[:-1]] = both[:-1]
                 new_at[j] = first[-1]
-                code[:, j] = table.take(coming[j])
+                got = table.take(own[begin:until])
+                code[j, : len(got)] = np.where(got < 0, both[-1], got)
+                table[symbols[:-1]] = -1
+            code = np.ascontiguousarray(code.T)
         now, one, two = (ids[begin + d : end + d, :some].astype(np.int64) for d in (2, 1, 0))
         told = model.predict(one, two)
         upto_a, upto_b = told[-1] >> 16, told[-1] & 0xFFFF
@@ -163,48 +182,50 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             step = w >> (_WEIGHT + _SLOTS)
             low[:k] += step * start[t, :k]
             np.multiply(step, part[t, :k], out=w)
-            small = np.flatnonzero(w < _LOW)
-            while len(small):  # 16 bits of these blocks go out
-                top, to = low[small], held[small]
-                words[to, small] = top >> 32
-                held[small] = to + 1
-                low[small] = (top & (_LOW - 1)) << 16
-                wide = w[small] << 16
-                w[small] = wide
-                small = small[wide < _LOW]
+            small = (w < _LOW).nonzero()[0]
+            if len(small):  # 32 bits of these blocks go out; what is left is always enough
+                top, to = low.take(small), held.take(small)
+                words[to] = top >> 30
+                held[small] = to + n
+                low[small] = (top & (_LOW - 1)) << 32
+                w[small] = w.take(small) << 32
         model.learn(now, active[begin:end], *told)
-        if int(held.max()) + 2 * STRIDE + 8 > len(words):
-            words = np.concatenate([words, np.zeros((len(words) // 4 + 2 * STRIDE, n), np.int32)])
-    for shift in (32, 16, 0):
-        words[held, np.arange(n)] = (low >> shift) & 0xFFFF if shift < 32 else low >> 32
-        held += 1
+        if int(held.max()) + (STRIDE + 8) * n > len(words):
+            words = np.concatenate([words, np.zeros((len(words) // (4 * n) + 2 * STRIDE) * n, np.int64)])
+    for rest in (low >> 30, (low & (_LOW - 1)) << 2):
+        words[held] = rest
+        held += n
+    words, held = words.reshape(-1, n), held // n
     for i in range(int(held.max(initial=1)) - 1, 0, -1):  # carries go to the word before
-        words[i - 1] += words[i] >> 16
-        words[i] &= 0xFFFF
+        words[i - 1] += words[i] >> 32
+        words[i] &= 0xFFFFFFFF
     lane, fresh = (np.concatenate([p[j] for p in plain] or [np.zeros(0, np.int64)]) for j in (0, 1))
     fresh = np.split(fresh[np.argsort(lane, kind="stable")], np.cumsum(np.bincount(lane, minlength=n))[:-1]) if n else []
     out: list[bytes] = [b""] * n
     for j, i in enumerate(order):
-        out[i] = int(held[j]).to_bytes(4, "little") + words[: held[j], j].astype("<u2").tobytes() + fresh[j].astype("<u2").tobytes()
+        out[i] = int(held[j]).to_bytes(4, "little") + words[: held[j], j].astype("<u4").tobytes() + fresh[j].astype("<u2").tobytes()
     return out
 
 
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays one after the other with room after each, and the first and last place of each."""
+    begins = np.cumsum([0, *(len(p) + 4 for p in parts)])
+    out = np.zeros(int(begins[-1]) + 4, np.int64)
+    for p, s in zip(parts, begins, strict=False):
+        out[s : s + len(p)] = p
+    return out, begins[:-1].copy(), begins[1:] - 1
+
+
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order, size, most, active = _lanes(sizes)
     n = len(payloads)
-    raw = [np.frombuffer(payloads[i], "<u2", offset=4) for i in order]
-    begins = np.cumsum([0, *(len(r) + 4 for r in raw)])
-    words = np.zeros(int(begins[-1]) + 4, np.uint16)
-    for r, s in zip(raw, begins, strict=False):
-        words[s : s + len(r)] = r
-    coded = np.array([int.from_bytes(payloads[i][:4], "little") for i in order], np.int64)
-    at, last = begins[:-1].copy(), begins[1:] - 1
-    fresh_at = np.minimum(at + coded, last)
+    coded = [int.from_bytes(payloads[i][:4], "little") for i in order]
+    words, at, last = _joined([np.frombuffer(payloads[i], "<u4", c, 4) for i, c in zip(order, coded, strict=True)])
+    plain, fresh_at, fresh_last = _joined([np.frombuffer(payloads[i], "<u2", offset=4 + 4 * c) for i, c in zip(order, coded, strict=True)])
     model = _Model(n)
-    code, width = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
-    for _ in range(3):
-        code = code << 16 | words[at]
-        at += 1
+    code, width = words[at] << 30 | words[at + 1] >> 2, np.full(n, _TOP - 1, np.int64)
+    words[:-1] = (words[:-1] & 3) << 30 | words[1:] >> 2  # as they follow on 62 bits
+    at += 1
     ids = np.zeros((most + 2, n), np.int64)
     base, flat = np.arange(n, dtype=np.int64) << _SLOTS, np.empty(n << _SLOTS, np.int64)
     for begin, end, anew in _places(most):
@@ -229,28 +250,26 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             # as if none were a candidate; floats divide numbers of so few bits exactly
             got = flat.take(base[:k] + (((q - upto_b) / rest).astype(np.int64) & ((1 << _SLOTS) - 1)))
             start, part, now = upto_b + rest * ((got >> 16) & 0xFFFF), rest * (got & 0xFFFF), got >> 32
-            hit = np.flatnonzero(q < upto_b)
+            hit = (q < upto_b).nonzero()[0]
             if len(hit):
                 upto_a = ends[hit] >> 16 << _SLOTS
                 is_a = q[hit] < upto_a
                 start[hit] = np.where(is_a, 0, upto_a)
                 part[hit] = np.where(is_a, upto_a, upto_b[hit] - upto_a)
                 now[hit] = np.where(is_a, one[0][hit], one[1][hit]) >> 4
-            fresh = np.flatnonzero(now == _NEW)
+            fresh = (now == _NEW).nonzero()[0]
             if len(fresh):
                 place = fresh_at[fresh]
-                now[fresh] = words[place]
-                fresh_at[fresh] = np.minimum(place + 1, last[fresh])
+                now[fresh] = plain.take(place)
+                fresh_at[fresh] = np.minimum(place + 1, fresh_last.take(fresh))
             c -= step * start
             np.multiply(step, part, out=w)
-            small = np.flatnonzero(w < _LOW)
-            while len(small):
-                place = at[small]
-                c[small] = c[small] << 16 | words[place]
-                at[small] = np.minimum(place + 1, last[small])
-                wide = w[small] << 16
-                w[small] = wide
-                small = small[wide < _LOW]
+            small = (w < _LOW).nonzero()[0]
+            if len(small):
+                place = at.take(small)
+                c[small] = c.take(small) << 32 | words.take(place)
+                at[small] = np.minimum(place + 1, last.take(small))
+                w[small] = w.take(small) << 32
             ids[t + 2, :k] = now
         model.learn(ids[begin + 2 : end + 2, :some], active[begin:end], *told)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
@@ -299,9 +318,10 @@ def joined_crc(a: int, b: int, n: int) -> int:
 
 class Tokenizer:
     """The library's ids. Texts of ASCII and Latin letters without an added token are cut as the byte-level pattern cuts them and each distinct
-    cut is encoded once; all others are encoded whole. Cuts are known by their 64-bit hashes; at most `cached` are kept."""
+    cut is encoded once; all others are encoded whole. Cuts are known by their 64-bit hashes, in a table with open places; at most `cached` are kept,
+    but those of one call."""
 
-    def __init__(self, path: str, cached: int = 400_000) -> None:
+    def __init__(self, path: str, cached: int = 1_500_000) -> None:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
@@ -311,31 +331,77 @@ class Tokenizer:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any("\n" in t for t in self.added)
         (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
+        #: Bytes of each id, a character of a byte-level token being one; whether words may follow one another without a break.
+        self.lengths, self.joins = np.zeros(1 << 16, np.int64), not any(" " in t for t in self.added)
+        for t, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.lengths[i & 0xFFFF] = len(t)
         self.cached = cached
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.store, self.first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
-
-    def _learn(self, cuts: list[str]) -> None:
-        """Encodes new cuts, to be numbered on. Those without a line break go as the lines of one text, whose breaks are cuts, and so ids, of their own."""
-        lines = [c for c in cuts if not c.isspace()]
-        ids, parts = np.zeros(0, np.int64), []
-        if lines:
-            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int64)
-        edges = iter([*np.flatnonzero(ids == self.line_break).tolist(), len(ids)])
-        at = 0
-        for c in cuts:
-            if c.isspace():
-                parts.append(np.array(self.library.encode(c, add_special_tokens=False).ids, np.int64))
-            else:
-                end = next(edges)
-                parts.append(ids[at:end])
-                at = end + 1
-        if parts:
-            self.store = np.concatenate([self.store, *parts]).astype(np.uint16)
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(p) for p in parts])])
+        """number: of the cut whose hash is in that place of keys, 0 being free. The ids of cut i are store[first[i]:first[i + 1]]."""
+        self.known, self.bits = 0, 16
+        self.keys, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.store, self.first = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place where it would be."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys.take(at)
+        on = np.flatnonzero((held != keys) & (held != 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.keys) - 1)
+            held = self.keys.take(at[on])
+            on = on[(held != keys[on]) & (held != 0)]
+        return at
+
+    def _put(self, keys: np.ndarray, number: np.ndarray) -> None:
+        """New and distinct keys."""
+        while len(keys):
+            at = self._place(keys)
+            self.keys[at] = keys  # of those that share a free place one gets it
+            won = self.keys[at] == keys
+            self.number[at[won]] = number[won]
+            keys, number = keys[~won], number[~won]
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int64)
+
+    def _learn(self, keys: np.ndarray, cuts: list[bytes]) -> None:
+        """Encodes new cuts: those that begin with a space as one text, which is cut there again, and parted by how many bytes each id has; others, if not
+        white space, as the lines of one text, whose breaks are cuts, and so ids, of their own."""
+        size = np.array([len(c) for c in cuts], np.int64)
+        kind = np.array([2 if c.isspace() else int(c[0] != 32 or not self.joins) for c in cuts], np.int8)
+        order = np.argsort(kind, kind="stable")
+        n, m, _ = np.bincount(kind, minlength=3).tolist()
+        keys, size, cuts = keys[order], size[order], [cuts[i] for i in order.tolist()]
+        ids, sizes = [], []
+        if n:
+            ids.append(self._whole(b"".join(cuts[:n])))
+            upto, ends = np.cumsum(self.lengths[ids[0]]), np.cumsum(size[:n])
+            last = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[np.minimum(last, len(upto) - 1)], ends):
+                raise ValueError("the library cuts words together")
+            sizes.append(np.diff(last, prepend=-1))
+        if m:
+            lines = self._whole(b"\n".join(cuts[n : n + m]))
+            breaks = np.flatnonzero(lines == self.line_break)
+            ids.append(np.delete(lines, breaks))
+            sizes.append(np.diff(np.concatenate([[-1], breaks, [len(lines)]])) - 1)
+        alone = [self._whole(c) for c in cuts[n + m :]]
+        ids, size = np.concatenate([*ids, *alone]), np.concatenate([*sizes, np.array([len(x) for x in alone], np.int64)])
+        now, upto = self.known, int(self.first[self.known])
+        self.known += len(keys)
+        self.store, self.first = _roomy(self.store, upto + len(ids)), _roomy(self.first, self.known + 1)
+        self.store[upto : upto + len(ids)] = ids
+        self.first[now + 1 : self.known + 1] = upto + np.cumsum(size)
+        if 2 * self.known > len(self.keys):
+            old = self.keys != 0
+            held, number = self.keys[old], self.number[old]
+            self.bits = max(self.bits + 1, (2 * self.known).bit_length())
+            self.keys, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(held, number)
+        self._put(keys, np.arange(now, self.known, dtype=np.int32))
 
     def encode(self, texts: list[str | None], end: int = 0) -> list[np.ndarray]:
         """The ids of each text with the end id."""
@@ -347,18 +413,22 @@ class Tokenizer:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         whole = np.array([not self.cuts or any(a in (t or "") for a in self.added) for t in texts], bool) | ~latin(raw)
         buf, start, stop, last = cut([b"" if w else r for r, w in zip(raw, whole, strict=True)])
-        keys, one, of = np.unique(textvec.span_hash(textvec.prefix_sums(buf), start, stop), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.cached:
-            self._forget()
-        said, number, new = buf.tobytes(), [], []
-        for key, s, e in zip(keys.tolist(), start[one].tolist(), stop[one].tolist(), strict=True):
-            at = self.known.get(key)
-            if at is None:
-                at = self.known[key] = len(self.known)
-                new.append(said[s:e].decode())
-            number.append(at)
-        self._learn(new)
-        at = np.array(number, np.int64)[of] if number else np.zeros(0, np.int64)
+        keys = textvec.span_hash(textvec.prefix_sums(buf), start, stop) | np.uint64(1)
+        place = self._place(keys)
+        new = np.flatnonzero(self.keys.take(place) == 0)
+        if len(new):
+            fresh, one = np.unique(keys[new], return_index=True)
+            if self.known + len(fresh) > self.cached:
+                self._forget()
+                new = np.arange(len(keys))
+                fresh, one = np.unique(keys, return_index=True)
+            said, bits = buf.tobytes(), self.bits
+            self._learn(fresh, [said[s:e] for s, e in zip(start[new[one]].tolist(), stop[new[one]].tolist(), strict=True)])
+            if self.bits == bits and len(new) < len(keys):
+                place[new] = self._place(keys[new])
+            else:
+                place = self._place(keys)
+        at = self.number.take(place)
         size = self.first[at + 1] - self.first[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         n = np.diff(upto[last], prepend=0)
@@ -371,16 +441,23 @@ class Tokenizer:
         return np.insert(ids, np.cumsum(n), end), n + 1
 
 
+def _roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a longer array that begins with it and has room for n."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 def latin(raw: list[bytes]) -> np.ndarray:
     """Whether each text has only ASCII that is printed or space, and the letters from U+00C0 to U+017F."""
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    lead = (buf >= 0xC3) & (buf <= 0xC5)
-    ok = (buf >= 9) & (buf <= 13) | (buf >= 32) & (buf < 127) | (buf >= 0x80) & (buf < 0xC0) | lead
-    ok[1:] &= ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))  # the signs of multiplication and division
-    ok[1:] &= ~((buf[1:] >= 0x80) & (buf[1:] < 0xC0) & ~lead[:-1])  # a letter of another lead byte
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    bad = np.concatenate([[0], np.cumsum(~ok)])
-    return bad[ends] == bad[np.concatenate([[0], ends[:-1]])] if raw else np.zeros(0, bool)
+    odd = np.flatnonzero(_ODD[buf])
+    now, before = buf[odd], buf[odd - 1]
+    bad = (now < 0x80) | (now >= 0xC0) & ((now < 0xC3) | (now > 0xC5))
+    later = (now >= 0x80) & (now < 0xC0)
+    bad |= later & ((before < 0xC3) | (before > 0xC5))  # a letter of another lead byte
+    bad |= later & (before == 0xC3) & ((now == 0x97) | (now == 0xB7))  # the signs of multiplication and division
+    out = np.ones(len(raw), bool)
+    out[np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), odd[bad], "right")] = False
+    return out
 
 
 def cut(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -409,6 +486,8 @@ def cut(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 _SPACE, _LETTER = 1, 2
+#: Bytes that are not ASCII that is printed or space.
+_ODD = np.array([not (9 <= b <= 13 or 32 <= b < 127) for b in range(256)])
 #: 0 ends a text; bytes over 127 are of letters here.
 _KIND = np.array([0 if b == 0 else _SPACE if b == 32 or 9 <= b <= 13 else _LETTER if b > 127 or chr(b).isalpha() else 3 if chr(b).isdigit() else 4 for b in range(256)], np.uint8)
 
@@ -488,8 +567,8 @@ def read(blocks: DataFrame) -> DataFrame:
     document's pieces in the order of part, block and seq are its ids; documents of equal or null ids follow one another, each from its piece 0 on."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for t, ids in _decoded(b):
+        for some in _decoded(rows):
+            for t, ids in some:
                 n = len(t["lengths"])
                 cuts = np.cumsum([0, *t["lengths"]])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(t["doc_ids"], pa.int64()), "part": [t["part"]] * n, "block": [t["block"]] * n, "piece": t["pieces"], "seq": list(range(n)), "ids": pa.array([ids[s:e].tolist() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int32()))}, schema=pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("piece", pa.int32()), ("seq", pa.int32()), ("ids", pa.list_(pa.int32()))]))
@@ -497,15 +576,27 @@ def read(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, part int, block long, piece int, seq int, ids array<int>")
 
 
-def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
-    records = batch.to_pylist()
-    for t in records:
-        if zlib.crc32(t["payload"]) != t["payload_crc"]:
-            raise ValueError(f"block {t['block']} of part {t['part']} is broken")
-    for t, ids in zip(records, decode_blocks([t["payload"] for t in records], [t["n_ids"] for t in records]), strict=True):
-        if crc(ids) != t["ids_crc"]:
-            raise ValueError(f"the ids of block {t['block']} of part {t['part']} are wrong")
-        yield t, ids
+def _decoded(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, np.ndarray]]]:
+    """Records and their ids, as many together as are coded in step, whatever the batches."""
+    records: list[dict] = []
+
+    def out(some: list[dict]) -> list[tuple[dict, np.ndarray]]:
+        for t in some:
+            if zlib.crc32(t["payload"]) != t["payload_crc"]:
+                raise ValueError(f"block {t['block']} of part {t['part']} is broken")
+        told = list(zip(some, decode_blocks([t["payload"] for t in some], [t["n_ids"] for t in some]), strict=True))
+        for t, ids in told:
+            if crc(ids) != t["ids_crc"]:
+                raise ValueError(f"the ids of block {t['block']} of part {t['part']} are wrong")
+        return told
+
+    for batch in rows:
+        records += batch.to_pylist()
+        while len(records) >= TOGETHER:
+            yield out(records[:TOGETHER])
+            del records[:TOGETHER]
+    if records:
+        yield out(records)
 
 
 def digests(blocks: DataFrame) -> DataFrame:
@@ -513,9 +604,9 @@ def digests(blocks: DataFrame) -> DataFrame:
     blocks give no rows; a wrong checksum raises."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for some in _decoded(rows):
             out = []
-            for t, ids in _decoded(b):
+            for t, ids in some:
                 cuts = np.cumsum([0, *t["lengths"]]).tolist()
                 for seq, (d, p, s, e) in enumerate(zip(t["doc_ids"], t["pieces"], cuts[:-1], cuts[1:], strict=True)):
                     out.append((d, t["part"], t["block"], seq, p, e - s, crc(ids[s:e])))

@@ -219,6 +219,18 @@ def test_id_blocks_round_trip():
     assert idcoder.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_blocks_are_read_together_whatever_the_batches(monkeypatch):
+    rng, asked = np.random.default_rng(4), []
+    blocks = [rng.integers(0, 3000, n) for n in (5, 900, 70, 300, 1, 64, 65)]
+    rows = [{"payload": p, "payload_crc": zlib.crc32(p), "n_ids": len(b), "ids_crc": idcoder.crc(b), "block": i, "part": 0} for i, (b, p) in enumerate(zip(blocks, idcoder.encode_blocks(blocks), strict=True))]
+    decode = idcoder.decode_blocks
+    monkeypatch.setattr(idcoder, "decode_blocks", lambda p, n: asked.append(len(p)) or decode(p, n))
+    monkeypatch.setattr(idcoder, "TOGETHER", 5)
+    got = [x for some in idcoder._decoded(iter([pa.RecordBatch.from_pylist(rows[s : s + 2]) for s in range(0, 7, 2)])) for x in some]
+    assert asked == [5, 2] and [t["block"] for t, _ in got] == list(range(7))
+    assert all((a == b).all() for (_, a), b in zip(got, blocks, strict=True))
+
+
 def test_id_files(spark, odd):
     from tokenizers import Tokenizer
 
@@ -250,6 +262,22 @@ def test_tokenizer_cuts():
     assert [x.tolist() for x in t.encode(texts)] == [[*t.library.encode(x, add_special_tokens=False).ids, 0] for x in texts]
 
 
+def test_new_cuts_are_encoded_without_breaks_between_them(monkeypatch):
+    """New words go to the library one after the other, and what is forgotten or shares a place of the table is encoded as before."""
+    t, rng, asked = idcoder.Tokenizer(BYTES, cached=900), random.Random(3), []
+    whole = t._whole
+    monkeypatch.setattr(t, "_whole", lambda text: asked.append(text) or whole(text))
+    texts = [" ".join("".join(rng.choices("abcdeéß", k=rng.randrange(1, 6))) + rng.choice(["", "", "!", "'ll", "42", " \n"]) for _ in range(60)) for _ in range(40)]
+    for s in range(0, 40, 8):
+        got = t.encode(texts[s : s + 8])
+        assert [x.tolist() for x in got] == [[*t.library.encode(x, add_special_tokens=False).ids, 0] for x in texts[s : s + 8]]
+        assert t.known <= max(900, int((t.keys != 0).sum())) and len(t.keys) >= 2 * t.known
+    assert max(x.count(b" ") for x in asked) > 100
+    before = len(asked)
+    t.encode(texts[-8:])
+    assert len(asked) == before
+
+
 def test_added_tokens_as_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -81,11 +81,10 @@ class _Model:
         if old.any():
             self.seen[:, old] = (self.seen[:, old] + 1) >> 1
         self._weigh()
+        fresh = ids << 4
         for table, at, held, good, unit in ((self.tables[0], at_one, one, by_one, 1), (self.tables[1], at_two, two, by_two, 4)):
             count = held & 3 * unit
-            new = held - unit
-            np.copyto(new, ids << 4, where=count == 0)
-            np.copyto(new, held + unit * (count < 3 * unit), where=good)
+            new = np.where(good, held + unit * (count < 3 * unit), np.where(count == 0, fresh, held - unit))
             table[at[pick]] = new[pick]
 
 
@@ -104,7 +103,7 @@ def _distribution(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From a block's ids so far: the symbols, their slots (1 << _SLOTS in all) and where these begin. The last symbol, _NEW, is any other id: so are
     the seldom ones of more than half as many symbols as slots."""
     whole = 1 << _SLOTS
-    if len(ids) < 2000:  # sorting these takes less than going through all ids there may be
+    if len(ids) < 1 << 14:  # sorting these takes less than going through all ids there may be
         ids = np.sort(ids)
         edge = np.ones(len(ids) + 1, bool)
         np.not_equal(ids[1:], ids[:-1], out=edge[1:-1])
@@ -226,14 +225,13 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     code, width = words[at] << 30 | words[at + 1] >> 2, np.full(n, _TOP - 1, np.int64)
     words[:-1] = (words[:-1] & 3) << 30 | words[1:] >> 2  # as they follow on 62 bits
     at += 1
-    ids = np.zeros((most + 2, n), np.int64)
+    ids, past = np.zeros((most + 2, n), np.int64), np.zeros((n, most), np.uint16)
     base, flat = np.arange(n, dtype=np.int64) << _SLOTS, np.empty(n << _SLOTS, np.int64)
     for begin, end, anew in _places(most):
         some = int(active[begin])
         if anew:
-            sofar = np.ascontiguousarray(ids[2 : begin + 2, :some].T)
             for j in range(some):
-                symbols, slots, first = _distribution(sofar[j])
+                symbols, slots, first = _distribution(past[j, :begin])
                 flat[j << _SLOTS : j + 1 << _SLOTS] = np.repeat(symbols << 32 | first << 16 | slots, slots)
         told = [np.zeros((end - begin, some), x) for x in (np.int32, np.int32, np.int64, np.int64, np.int64)]
         for t in range(begin, end):
@@ -271,10 +269,11 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
                 at[small] = np.minimum(place + 1, last.take(small))
                 w[small] = w.take(small) << 32
             ids[t + 2, :k] = now
+        past[:some, begin:end] = ids[begin + 2 : end + 2, :some].T
         model.learn(ids[begin + 2 : end + 2, :some], active[begin:end], *told)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for j, i in enumerate(order):
-        out[i] = ids[2 : size[j] + 2, j].copy()
+        out[i] = past[j, : size[j]].astype(np.int64)
     return out
 
 

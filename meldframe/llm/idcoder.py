@@ -3,9 +3,11 @@
 Three predictions of the coming id are mixed: the id that last followed the last two ids (order 2), the one that last followed the last id
 (order 1), each with a count of how well it has held, and the block's own distribution of ids (order 0). Their weights are learnt for every
 pair of counts. An id is coded as the order-2 candidate, the order-1 candidate, an id of the distribution, or as new to it, and is then put
-down as it is after the coded words. A range coder takes these choices. What a block learns takes effect at its next place (every `STRIDE`
-ids, more often at first), so that between two places the encoder has all choices of all blocks as arrays, and the decoder only reads tables. All starts anew in each block, and each has checksums of its bytes and ids, so that a block is read, or found broken, alone. Many
-blocks are coded in step: a step is a few numpy operations for one id of each.
+down as it is after the coded words. A range coder takes these choices, others the ids of the distribution: these need no context until the
+distribution is made anew, so that two coders a block take them in turn, and they are read ahead of the choices. What a block learns takes effect
+at its next place (every `STRIDE` ids, more often at first), so that between two places the encoder has all choices of all blocks as arrays, and
+the decoder only reads tables. All starts anew in each block, and each has checksums of its bytes and ids, so that a block is read, or found
+broken, alone. Many blocks are coded in step: a step is a few numpy operations for one id of each.
 
 A file is a Parquet part of block records. A long document has several blocks; a block may have many documents.
 """
@@ -27,19 +29,23 @@ from . import textvec
 from .common import bounded, small_batches, stored
 
 #: Ids in a block at least and at most, blocks coded in step, and ids between places.
-SHORTEST, LONGEST, TOGETHER, STRIDE = 1 << 12, 1 << 15, 512, 64
+SHORTEST, LONGEST, TOGETHER, STRIDE = 1 << 12, 1 << 14, 1024, 64
 #: Bits of a candidate's weight and of the slots of an order-0 distribution.
 _WEIGHT, _SLOTS = 12, 13
+#: Streams of a block for the ids of its distributions, and blocks whose distributions are made at once.
+_SIDES, _BESIDE = 2, 64
 _TOP, _LOW, _NEW = 1 << 62, 1 << 30, 1 << 16
 #: Slots of the tables of order 1 and 2, and what the distribution and a candidate weigh at least.
-_ROWS, _LEAST_REST, _LEAST = (1 << 12, 1 << 14), 96, 8
+_ROWS, _LEAST_REST, _LEAST = (1 << 12, 1 << 13), 96, 8
+#: Numbers that meet arrays at every id: numpy takes arrays without axes faster than Python's.
+_BY_WEIGHT, _BY_SLOTS, _NARROW, _BY_FIVE, _COUNTS, *_IN_ROWS = (np.array(x, np.int64) for x in (_WEIGHT, _SLOTS, _LOW, 5, 15, *(r - 1 for r in _ROWS)))
 #: By the counts of order 2 and 1: outcomes as if seen before for order 2, order 1 and neither.
 _PRIOR = np.array([[1 + 3 * two, 1 + 2 * one, 8] for two in range(4) for one in range(4)], np.int64).T
 BLOCKS = "part int, block long, doc_ids array<long>, pieces array<int>, lengths array<int>, n_ids int, ids_crc long, payload binary, payload_crc long"
 
 
 class _Model:
-    """Candidates and weights of some blocks side by side. Arrays of ids are places by blocks."""
+    """Candidates and weights of some blocks side by side."""
 
     def __init__(self, n: int) -> None:
         self.tables = [np.zeros(n * rows, np.int32) for rows in _ROWS]
@@ -49,34 +55,31 @@ class _Model:
         self._weigh()
 
     def _weigh(self) -> None:
-        """Ends of the ranges of both candidates for each pair of counts, in 1 << _WEIGHT."""
+        """What both candidates and the rest weigh for each pair of counts, in 1 << _WEIGHT."""
         two, one, neither = self.seen
         total = two + one + neither
-        first = np.minimum(np.maximum((two << _WEIGHT) // total, _LEAST), (1 << _WEIGHT) - _LEAST_REST - _LEAST)
-        second = np.minimum(first + np.maximum((one << _WEIGHT) // total, _LEAST), (1 << _WEIGHT) - _LEAST_REST)
-        self.ends = first << 16 | second
+        self.two = np.minimum(np.maximum((two << _WEIGHT) // total, _LEAST), (1 << _WEIGHT) - _LEAST_REST - _LEAST)
+        upto = np.minimum(self.two + np.maximum((one << _WEIGHT) // total, _LEAST), (1 << _WEIGHT) - _LEAST_REST)
+        self.one, self.rest = upto - self.two, (1 << _WEIGHT) - upto
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """After the ids one and, before it, two: the entries of order 2 (candidate << 4 | count << 2) and 1 (candidate << 4 | count), their slots, the
-        row of weights, and its end of the first << 16 | end of the second."""
+        """After the ids one and, before it, two: the entries of order 2 (candidate << 4 | count << 2) and 1 (candidate << 4 | count), their slots, and the
+        row of weights."""
         k = one.shape[-1]
-        at_one = (one & (_ROWS[0] - 1)) + self.base[0][:k]
-        at_two = ((one ^ (two << 5)) & (_ROWS[1] - 1)) + self.base[1][:k]
+        at_one = (one & _IN_ROWS[0]) + self.base[0][:k]
+        at_two = ((one ^ (two << _BY_FIVE)) & _IN_ROWS[1]) + self.base[1][:k]
         held_one, held_two = self.tables[0].take(at_one), self.tables[1].take(at_two)
-        row = ((held_one | held_two) & 15) + self.lane[:k]
-        return held_two, held_one, at_two, at_one, row, self.ends.take(row)
+        return held_two, held_one, at_two, at_one, ((held_one | held_two) & _COUNTS) + self.lane[:k]
 
-    def learn(self, ids: np.ndarray, active: np.ndarray, two: np.ndarray, one: np.ndarray, at_two: np.ndarray, at_one: np.ndarray, row: np.ndarray, *_: np.ndarray) -> None:
-        """Takes in the ids (places by blocks, those from active on in a place are none) for which predict() gave the rest."""
+    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, at_two: np.ndarray, at_one: np.ndarray, row: np.ndarray) -> None:
+        """Takes in the ids, place by place in one array, for which predict() gave the rest."""
         ids = ids.astype(np.int32)
         by_two, by_one = (two >> 4) == ids, (one >> 4) == ids
         n = self.seen.shape[1]
         outcome = row + 2 * n
         outcome -= by_one * np.int64(n)
         np.copyto(outcome, row, where=by_two)
-        whole = active[-1] == ids.shape[1]
-        pick = slice(None) if whole else np.arange(ids.shape[1]) < active[:, None]
-        self.seen += np.bincount(outcome.ravel() if whole else outcome[pick], minlength=3 * n).reshape(3, n) * 4
+        self.seen += np.bincount(outcome, minlength=3 * n).reshape(3, n) * 4
         old = self.seen.sum(0) > 4000
         if old.any():
             self.seen[:, old] = (self.seen[:, old] + 1) >> 1
@@ -84,8 +87,60 @@ class _Model:
         fresh = ids << 4
         for table, at, held, good, unit in ((self.tables[0], at_one, one, by_one, 1), (self.tables[1], at_two, two, by_two, 4)):
             count = held & 3 * unit
-            new = np.where(good, held + unit * (count < 3 * unit), np.where(count == 0, fresh, held - unit))
-            table[at[pick]] = new[pick]
+            new = held - np.int32(unit)
+            np.copyto(new, fresh, where=count == 0)
+            np.copyto(new, held + (count < 3 * unit) * np.int32(unit), where=good)
+            table[at] = new
+
+
+class _Writer:
+    """Range coders side by side, each with a stream of words of its own."""
+
+    def __init__(self, n: int) -> None:
+        self.low, self.width = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
+        self.gone: list[tuple[np.ndarray, np.ndarray]] = []  # streams and their words, carries on top
+
+    def put(self, low: np.ndarray, width: np.ndarray, stream: np.ndarray | None = None) -> None:
+        """32 bits of those that have become narrow go out; what is left is always enough."""
+        small = (width < _NARROW).nonzero()[0]
+        if len(small):
+            top = low.take(small)
+            self.gone.append((small if stream is None else stream.take(small), top >> 30))
+            low[small] = (top & (_LOW - 1)) << 32
+            width[small] = width.take(small) << 32
+
+    def words(self) -> list[np.ndarray]:
+        """Of each stream, which zeros follow."""
+        n = len(self.low)
+        self.put(self.low, self.width)
+        rest = (self.low + _LOW - 1) >> 30
+        end = rest.nonzero()[0]
+        stream, words = (np.concatenate(x) for x in zip(*self.gone, (end, rest.take(end)), strict=True))
+        words = words.take(np.argsort(stream.astype(np.min_scalar_type(n)), kind="stable"))
+        while len(over := (words >> 32).nonzero()[0]):  # carries go to the word before
+            words[over] &= 0xFFFFFFFF
+            words[over - 1] += 1
+        return np.split(words.astype("<u4"), np.cumsum(np.bincount(stream, minlength=n))[:-1])
+
+
+class _Reader:
+    """What _Writer has written."""
+
+    def __init__(self, streams: list[np.ndarray]) -> None:
+        words, self.at, self.last = _joined(streams)
+        self.code, self.width = words[self.at] << 30 | words[self.at + 1] >> 2, np.full(len(streams), _TOP - 1, np.int64)
+        words[:-1] = (words[:-1] & 3) << 30 | words[1:] >> 2  # as they follow on 62 bits
+        self.words = words
+        self.at += 1
+
+    def get(self, code: np.ndarray, width: np.ndarray, stream: np.ndarray | None = None) -> None:
+        small = (width < _NARROW).nonzero()[0]
+        if len(small):
+            own = small if stream is None else stream.take(small)
+            place = self.at.take(own)
+            code[small] = code.take(small) << 32 | self.words.take(place)
+            width[small] = width.take(small) << 32
+            self.at[own] = np.minimum(place + 1, self.last.take(own))
 
 
 def _places(most: int) -> list[tuple[int, int, bool]]:
@@ -99,32 +154,36 @@ def _places(most: int) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _distribution(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From a block's ids so far: the symbols, their slots (1 << _SLOTS in all) and where these begin. The last symbol, _NEW, is any other id: so are
-    the seldom ones of more than half as many symbols as slots."""
-    whole = 1 << _SLOTS
-    if len(ids) < 1 << 14:  # sorting these takes less than going through all ids there may be
-        ids = np.sort(ids)
-        edge = np.ones(len(ids) + 1, bool)
-        np.not_equal(ids[1:], ids[:-1], out=edge[1:-1])
-        edge = edge.nonzero()[0]
-        symbols, count = ids.take(edge[:-1]), edge[1:] - edge[:-1]
-    else:
-        count = np.bincount(ids)
-        symbols = (count != 0).nonzero()[0]
-        count = count.take(symbols)
-    new = whole * (np.count_nonzero(count == 1) + 1) // (len(ids) + 2)  # an id is new as often as those seen once are
-    if len(symbols) > whole // 2:
-        best = np.sort(np.argsort(-count, kind="stable")[: whole // 2])
-        symbols, count = symbols[best], count[best]
-    room = whole - len(symbols) - min(whole // 2, max(16, new))
-    n = len(symbols)
-    some, size = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-    some[:n], some[n] = symbols, _NEW
-    np.floor_divide(count * room, max(1, int(count.sum())), out=size[:n])
-    size[:n] += 1
-    size[n] = whole - int(size[:n].sum())
-    return some, size, np.cumsum(size) - size
+def _distributions(past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the ids so far, a row for each block: the symbols, their slots (1 << _SLOTS in all for each block), where these begin, and the bounds of each
+    block's symbols. A block's last symbol, _NEW, is any other id: so are the seldom ones of more than half as many symbols as slots."""
+    whole, (k, m) = 1 << _SLOTS, past.shape
+    ids = np.sort(past.astype(np.int32), axis=1)  # much faster than of 16 bits
+    edge = np.ones((k, m), bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=edge[:, 1:])
+    at = edge.ravel().nonzero()[0]
+    symbols, count = ids.ravel().take(at).astype(np.int64), np.diff(at, append=k * m)
+    n = np.count_nonzero(edge, axis=1)
+    lane = np.repeat(np.arange(k), n)
+    new = whole * (np.bincount(lane[count == 1], minlength=k) + 1) // (m + 2)  # an id is new as often as those seen once are
+    if n.max(initial=0) > whole // 2:
+        keep, ends = np.ones(len(at), bool), np.cumsum(n)
+        for j in (n > whole // 2).nonzero()[0].tolist():
+            own = slice(ends[j] - n[j], ends[j])
+            keep[own][np.argsort(-count[own], kind="stable")[whole // 2 :]] = False
+        symbols, count, lane = symbols[keep], count[keep], lane[keep]
+        n = np.minimum(n, whole // 2)
+    total = np.bincount(lane, count, k).astype(np.int64)
+    room = whole - n - np.minimum(whole // 2, np.maximum(16, new))
+    count *= room.take(lane)
+    count //= total.take(lane)
+    count += 1
+    bounds = np.concatenate([[0], np.cumsum(n + 1)])
+    some, size = np.full(bounds[-1], _NEW, np.int64), np.empty(bounds[-1], np.int64)
+    to = np.arange(len(lane)) + lane
+    some[to], size[to] = symbols, count
+    size[bounds[1:] - 1] = whole - np.bincount(lane, count, k).astype(np.int64)
+    return some, size, np.cumsum(size) - size & whole - 1, bounds
 
 
 def _lanes(sizes: list[int]) -> tuple[list[int], np.ndarray, int, np.ndarray]:
@@ -135,77 +194,107 @@ def _lanes(sizes: list[int]) -> tuple[list[int], np.ndarray, int, np.ndarray]:
     return order, size, most, np.searchsorted(-size, -np.arange(most), "left")
 
 
+def _dealt(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """So many symbols of each block, one block after the other, are dealt to its _SIDES streams in turn: the streams by falling number, the place of each
+    one's first, and how many streams have a further one each time."""
+    side = np.arange(_SIDES)
+    count, first = ((n[:, None] + (_SIDES - 1 - side)) // _SIDES).ravel(), ((np.cumsum(n) - n)[:, None] + side).ravel()
+    order = np.argsort(-count, kind="stable")
+    count = count.take(order)
+    return order, first.take(order), np.searchsorted(-count, -np.arange(count[0]), "left").tolist()
+
+
+def _head(size: int) -> str:
+    """The kind of the numbers before a payload's words."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One payload for each block of ids below 2**16, none empty: the number of coded words, these, and the new ids."""
+    """One payload for each block of ids below 2**16, none empty: the numbers of words of its streams, those of ids that are of the distribution, for
+    each time it was made; the words of the choices and of the distribution's ids; the new ids."""
     order, size, most, active = _lanes([len(b) for b in blocks])
     n = len(blocks)
-    ids = np.zeros((most + 2, n), np.uint16)  # two zeros come before
+    own = np.zeros((n, most), np.uint16)
     for j, i in enumerate(order):
-        ids[2 : size[j] + 2, j] = blocks[i]
-    model = _Model(n)
-    low, width = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
-    words, held = np.zeros((2 * STRIDE + 8) * n, np.int64), np.arange(n, dtype=np.int64)  # of each block every n-th from its own on, and its next
-    table, new_at, plain, made = np.full(1 << 16, -1, np.int32), np.zeros(n, np.int64), [], 0
+        own[j, : size[j]] = blocks[i]
+    ids = np.zeros((most + 2, n), np.uint16)  # two zeros come before
+    ids[2:] = own.T
+    model, choices, slots = _Model(n), _Writer(n), _Writer(n * _SIDES)
+    table, plain, numbers = np.full(1 << 16, -1, np.int32), [], []
     places = _places(most)
     for i, (begin, end, anew) in enumerate(places):
         some = int(active[begin])
-        if anew:  # first slot << 14 | slots of all ids until the distribution is made anew again
+        if anew:
             made, until = begin, next((p for p, _, again in places[i + 1 :] if again), most)
-            code = np.zeros((some, until - begin), np.int32)
-            for j in range(some):
-                own = blocks[order[j]]
-                symbols, slots, first = _distribution(own[:begin])
-                both = first << 14 | slots
-                table[symbols[:-1]] = both[:-1]
-                new_at[j] = first[-1]
-                got = table.take(own[begin:until])
-                code[j, : len(got)] = np.where(got < 0, both[-1], got)
-                table[symbols[:-1]] = -1
-            code = np.ascontiguousarray(code.T)
+            rest = np.arange(until - begin) < size[:some, None] - begin  # whose ids are of the distribution, blocks by places
         now, one, two = (ids[begin + d : end + d, :some].astype(np.int64) for d in (2, 1, 0))
         told = model.predict(one, two)
-        upto_a, upto_b = told[-1] >> 16, told[-1] & 0xFFFF
-        is_a = (told[0] >> 4) == now
-        is_b = ((told[1] >> 4) == now) & ~is_a
-        rest, slot = (1 << _WEIGHT) - upto_b, code[begin - made : end - made, :some]
-        start, part = (upto_b << _SLOTS) + rest * (slot >> 14), rest * (slot & 0x3FFF)
-        for which, s, p in ((is_b, upto_a, upto_b - upto_a), (is_a, 0, upto_a)):
-            np.copyto(start, s << _SLOTS, where=which)
-            np.copyto(part, p << _SLOTS, where=which)
-        new = ((slot >> 14) == new_at[:some]) & ~is_a & ~is_b & (np.arange(some) < active[begin:end, None])
-        lane, at = np.nonzero(new.T)
-        plain.append((lane, now[at, lane]))
-        for t in range(end - begin):
-            k = int(active[begin + t])
-            w = width[:k]
-            step = w >> (_WEIGHT + _SLOTS)
-            low[:k] += step * start[t, :k]
-            np.multiply(step, part[t, :k], out=w)
-            small = (w < _LOW).nonzero()[0]
-            if len(small):  # 32 bits of these blocks go out; what is left is always enough
-                top, to = low.take(small), held.take(small)
-                words[to] = top >> 30
-                held[small] = to + n
-                low[small] = (top & (_LOW - 1)) << 32
-                w[small] = w.take(small) << 32
-        model.learn(now, active[begin:end], *told)
-        if int(held.max()) + (STRIDE + 8) * n > len(words):
-            words = np.concatenate([words, np.zeros((len(words) // (4 * n) + 2 * STRIDE) * n, np.int64)])
-    for rest in (low >> 30, (low & (_LOW - 1)) << 2):
-        words[held] = rest
-        held += n
-    words, held = words.reshape(-1, n), held // n
-    for i in range(int(held.max(initial=1)) - 1, 0, -1):  # carries go to the word before
-        words[i - 1] += words[i] >> 32
-        words[i] &= 0xFFFFFFFF
+        is_two = (told[0] >> 4) == now
+        is_one = ((told[1] >> 4) == now) & ~is_two
+        rest[:some, begin - made : end - made] &= ~(is_two | is_one).T
+        start, part = np.zeros(now.shape, np.int64), model.rest.take(told[-1])
+        by_two = model.two.take(told[-1])
+        np.copyto(start, part, where=is_two)
+        np.copyto(start, part + by_two, where=is_one)
+        np.copyto(part, by_two, where=is_two)
+        np.copyto(part, model.one.take(told[-1]), where=is_one)
+        for t in range(begin, end):
+            k = int(active[t])
+            low, width = choices.low[:k], choices.width[:k]
+            step = width >> _BY_WEIGHT
+            low += step * start[t - begin, :k]
+            np.multiply(step, part[t - begin, :k], out=width)
+            if t & 1:  # two choices take 18 bits at most
+                choices.put(low, width)
+        if active[end - 1] == some:
+            model.learn(now.ravel(), *(x.ravel() for x in told))
+        else:
+            real = np.arange(some) < active[begin:end, None]
+            model.learn(now[real], *(x[real] for x in told))
+        if end == until:
+            numbers.append(_put_slots(slots, own[: len(rest)], made, rest, table, plain))
     lane, fresh = (np.concatenate([p[j] for p in plain] or [np.zeros(0, np.int64)]) for j in (0, 1))
     fresh = np.split(fresh[np.argsort(lane, kind="stable")], np.cumsum(np.bincount(lane, minlength=n))[:-1]) if n else []
     out: list[bytes] = [b""] * n
+    chosen, dealt = (choices.words(), slots.words()) if n else ([], [])
     for j, i in enumerate(order):
-        out[i] = int(held[j]).to_bytes(4, "little") + words[: held[j], j].astype("<u4").tobytes() + fresh[j].astype("<u2").tobytes()
+        streams = [chosen[j], *dealt[j * _SIDES : (j + 1) * _SIDES]]
+        head = np.array([*map(len, streams), *(x[j] for x in numbers if j < len(x))], _head(int(size[j])))
+        out[i] = b"".join(x.tobytes() for x in (head, *streams, fresh[j].astype("<u2")))
     return out
 
 
+def _put_slots(slots: _Writer, own: np.ndarray, made: int, rest: np.ndarray, table: np.ndarray, plain: list) -> np.ndarray:
+    """Codes those of the ids from `made` on that are of the distribution made there, and puts down the new ones with their blocks. Gives how many they are of each block."""
+    values, new = [], []
+    for s in range(0, len(own), _BESIDE):
+        symbols, size, first, bounds = _distributions(own[s : s + _BESIDE, :made])
+        both = (first << 14 | size).astype(np.int32)
+        for j, (b, e) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False), s):
+            known = symbols[b : e - 1]
+            table[known] = both[b : e - 1]
+            ids = own[j, made : made + rest.shape[1]][rest[j]]
+            got = table.take(ids)
+            table[known] = -1
+            fresh = (got < 0).nonzero()[0]
+            got[fresh] = both[e - 1]
+            values.append(got)
+            new.append(ids.take(fresh))
+    n = np.array([len(v) for v in values], np.int64)
+    value = np.concatenate(values).astype(np.int64)
+    plain.append((np.repeat(np.arange(len(n)), [len(x) for x in new]), np.concatenate(new)))
+    stream, first, with_more = _dealt(n)
+    lows, widths = slots.low.take(stream), slots.width.take(stream)
+    for t, k in enumerate(with_more):
+        now, low, width = value.take(first[:k] + t * _SIDES), lows[:k], widths[:k]
+        step = width >> _BY_SLOTS
+        low += step * (now >> 14)
+        np.multiply(step, now & 0x3FFF, out=width)
+        slots.put(low, width, stream)
+    slots.low[stream], slots.width[stream] = lows, widths
+    return n
+
+
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Arrays one after the other with room after each, and the first and last place of each."""
     begins = np.cumsum([0, *(len(p) + 4 for p in parts)])
@@ -218,65 +307,97 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order, size, most, active = _lanes(sizes)
     n = len(payloads)
-    coded = [int.from_bytes(payloads[i][:4], "little") for i in order]
-    words, at, last = _joined([np.frombuffer(payloads[i], "<u4", c, 4) for i, c in zip(order, coded, strict=True)])
-    plain, fresh_at, fresh_last = _joined([np.frombuffer(payloads[i], "<u2", offset=4 + 4 * c) for i, c in zip(order, coded, strict=True)])
-    model = _Model(n)
-    code, width = words[at] << 30 | words[at + 1] >> 2, np.full(n, _TOP - 1, np.int64)
-    words[:-1] = (words[:-1] & 3) << 30 | words[1:] >> 2  # as they follow on 62 bits
-    at += 1
-    ids, past = np.zeros((most + 2, n), np.int64), np.zeros((n, most), np.uint16)
-    base, flat = np.arange(n, dtype=np.int64) << _SLOTS, np.empty(n << _SLOTS, np.int64)
-    for begin, end, anew in _places(most):
+    places = _places(most)
+    made = np.array([p for p, _, anew in places if anew], np.int64)
+    numbers, chosen, dealt, new = np.zeros((len(made), n), np.int64), [], [], []
+    for j, i in enumerate(order):
+        times = int(np.searchsorted(made, size[j]))
+        head = np.frombuffer(payloads[i], _head(int(size[j])), 1 + _SIDES + times)
+        numbers[:times, j] = head[1 + _SIDES :]
+        at, streams = head.nbytes, []
+        for words in head[: 1 + _SIDES].tolist():
+            streams.append(np.frombuffer(payloads[i], "<u4", words, at))
+            at += 4 * words
+        chosen.append(streams[0])
+        dealt += streams[1:]
+        new.append(np.frombuffer(payloads[i], "<u2", offset=at))
+    model, choices, slots = _Model(n), _Reader(chosen), _Reader(dealt)
+    plain, fresh_at, _ = _joined(new)
+    past, numbered = np.zeros((n, most), np.uint16), np.empty(n << _SLOTS, np.uint16)
+    ids = np.zeros((STRIDE + 2, n), np.int64)  # of the stretch and the two before
+    times = iter(numbers)
+    for begin, end, anew in places:
         some = int(active[begin])
         if anew:
-            for j in range(some):
-                symbols, slots, first = _distribution(past[j, :begin])
-                flat[j << _SLOTS : j + 1 << _SLOTS] = np.repeat(symbols << 32 | first << 16 | slots, slots)
-        told = [np.zeros((end - begin, some), x) for x in (np.int32, np.int32, np.int64, np.int64, np.int64)]
+            rest, at = _get_slots(slots, past[:some, :begin], next(times)[:some], numbered, plain, fresh_at)
+        told = []
         for t in range(begin, end):
-            k = int(active[t])
-            one = model.predict(ids[t + 1, :k], ids[t, :k])
-            for all_of, of in zip(told, one, strict=False):
-                all_of[t - begin, :k] = of
-            ends, c, w = one[-1], code[:k], width[:k]
-            step = w >> (_WEIGHT + _SLOTS)
-            q = c // step
-            upto_b = ends & 0xFFFF
-            rest = (1 << _WEIGHT) - upto_b
-            upto_b <<= _SLOTS
-            # as if none were a candidate; floats divide numbers of so few bits exactly
-            got = flat.take(base[:k] + (((q - upto_b) / rest).astype(np.int64) & ((1 << _SLOTS) - 1)))
-            start, part, now = upto_b + rest * ((got >> 16) & 0xFFFF), rest * (got & 0xFFFF), got >> 32
-            hit = (q < upto_b).nonzero()[0]
+            k, i = int(active[t]), t - begin
+            guess = model.predict(ids[i + 1, :k], ids[i, :k])
+            two, one, _, _, row = guess
+            told.append(guess)
+            code, width, place = choices.code[:k], choices.width[:k], at[:k]
+            step = width >> _BY_WEIGHT
+            np.multiply(step, model.rest.take(row), out=width)
+            now = rest.take(place)  # as if none were a candidate
+            place += 1
+            hit = (code >= width).nonzero()[0]
             if len(hit):
-                upto_a = ends[hit] >> 16 << _SLOTS
-                is_a = q[hit] < upto_a
-                start[hit] = np.where(is_a, 0, upto_a)
-                part[hit] = np.where(is_a, upto_a, upto_b[hit] - upto_a)
-                now[hit] = np.where(is_a, one[0][hit], one[1][hit]) >> 4
-            fresh = (now == _NEW).nonzero()[0]
-            if len(fresh):
-                place = fresh_at[fresh]
-                now[fresh] = plain.take(place)
-                fresh_at[fresh] = np.minimum(place + 1, fresh_last.take(fresh))
-            c -= step * start
-            np.multiply(step, part, out=w)
-            small = (w < _LOW).nonzero()[0]
-            if len(small):
-                place = at.take(small)
-                c[small] = c.take(small) << 32 | words.take(place)
-                at[small] = np.minimum(place + 1, last.take(small))
-                w[small] = w.take(small) << 32
-            ids[t + 2, :k] = now
-        past[:some, begin:end] = ids[begin + 2 : end + 2, :some].T
-        model.learn(ids[begin + 2 : end + 2, :some], active[begin:end], *told)
+                step, row = step.take(hit), row.take(hit)
+                over, upto = code.take(hit) - width.take(hit), step * model.two.take(row)
+                is_two = over < upto
+                now[hit] = np.where(is_two, two.take(hit), one.take(hit)) >> 4
+                code[hit] = np.where(is_two, over, over - upto)
+                width[hit] = np.where(is_two, upto, step * model.one.take(row))
+                place[hit] -= 1
+            if t & 1:
+                choices.get(code, width)
+            ids[i + 2, :k] = now
+        got = ids[2 : end - begin + 2, :some]
+        past[:some, begin:end] = got.T
+        model.learn(got.ravel() if active[end - 1] == some else got[np.arange(some) < active[begin:end, None]], *(np.concatenate(x) for x in zip(*told, strict=True)))
+        ids[:2] = ids[end - begin : end - begin + 2].copy()
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for j, i in enumerate(order):
         out[i] = past[j, : size[j]].astype(np.int64)
     return out
 
 
+def _get_slots(slots: _Reader, past: np.ndarray, n: np.ndarray, numbered: np.ndarray, plain: np.ndarray, fresh_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coming n ids of each block that are of the distribution after the ids so far, one block after the other, and where each block's begin. numbered: room for the number of each slot's symbol."""
+    all_of, begins, upto = [], [], 0
+    for s in range(0, len(past), _BESIDE):
+        symbols, size, first, bounds = _distributions(past[s : s + _BESIDE])
+        own = np.arange(len(size)) - np.repeat(bounds[:-1], np.diff(bounds))
+        numbered[s << _SLOTS : s + len(bounds) - 1 << _SLOTS] = np.repeat(own.astype(np.uint16), size)
+        all_of.append(symbols << 32 | first << 16 | size)
+        begins.append(bounds[:-1] + upto)
+        upto += len(size)
+    symbols = np.concatenate(all_of)
+    stream, first, with_more = _dealt(n)
+    codes, widths, base = slots.code.take(stream), slots.width.take(stream), (stream // _SIDES) << _SLOTS
+    own = np.concatenate(begins).take(stream // _SIDES)
+    out = np.zeros(int(n.sum()) + 1, np.int64)
+    for t, k in enumerate(with_more):
+        code, width = codes[:k], widths[:k]
+        step = width >> _BY_SLOTS
+        at = (code.view(np.uint64) // step.view(np.uint64)).view(np.int64)  # quicker without signs
+        at += base[:k]
+        now = symbols.take(numbered.take(at) + own[:k])
+        code -= step * ((now >> 16) & 0xFFFF)
+        np.multiply(step, now & 0xFFFF, out=width)
+        out[first[:k] + t * _SIDES] = now >> 32
+        slots.get(code, width, stream)
+    slots.code[stream], slots.width[stream] = codes, widths
+    fresh = (out == _NEW).nonzero()[0]
+    begins = np.cumsum(n) - n
+    lane = np.searchsorted(begins + n, fresh, "right")
+    many = np.bincount(lane, minlength=len(n))
+    out[fresh] = plain.take(fresh_at.take(lane) + np.arange(len(fresh)) - (np.cumsum(many) - many).take(lane))
+    fresh_at[: len(n)] += many
+    return out, begins
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -338,10 +459,10 @@ class Tokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        """number: of the cut whose hash is in that place of keys, 0 being free. The ids of cut i are store[first[i]:first[i + 1]]."""
-        self.known, self.bits = 0, 16
-        self.keys, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.store, self.first = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64)
+        """span: where the ids of the cut whose hash is in that place of keys, 0 being free, are in store: first << 32 | how many."""
+        self.known, self.bits, self.stored = 0, 16, 0
+        self.keys, self.span = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+        self.store = np.zeros(1 << 16, np.uint16)
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         """Where each key is, or the free place where it would be."""
@@ -354,14 +475,14 @@ class Tokenizer:
             on = on[(held != keys[on]) & (held != 0)]
         return at
 
-    def _put(self, keys: np.ndarray, number: np.ndarray) -> None:
+    def _put(self, keys: np.ndarray, span: np.ndarray) -> None:
         """New and distinct keys."""
         while len(keys):
             at = self._place(keys)
             self.keys[at] = keys  # of those that share a free place one gets it
             won = self.keys[at] == keys
-            self.number[at[won]] = number[won]
-            keys, number = keys[~won], number[~won]
+            self.span[at[won]] = span[won]
+            keys, span = keys[~won], span[~won]
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int64)
@@ -389,18 +510,18 @@ class Tokenizer:
             sizes.append(np.diff(np.concatenate([[-1], breaks, [len(lines)]])) - 1)
         alone = [self._whole(c) for c in cuts[n + m :]]
         ids, size = np.concatenate([*ids, *alone]), np.concatenate([*sizes, np.array([len(x) for x in alone], np.int64)])
-        now, upto = self.known, int(self.first[self.known])
+        span = self.stored + np.cumsum(size) - size << 32 | size
         self.known += len(keys)
-        self.store, self.first = _roomy(self.store, upto + len(ids)), _roomy(self.first, self.known + 1)
-        self.store[upto : upto + len(ids)] = ids
-        self.first[now + 1 : self.known + 1] = upto + np.cumsum(size)
+        self.store = _roomy(self.store, self.stored + len(ids))
+        self.store[self.stored : self.stored + len(ids)] = ids
+        self.stored += len(ids)
         if 2 * self.known > len(self.keys):
             old = self.keys != 0
-            held, number = self.keys[old], self.number[old]
+            held, spans = self.keys[old], self.span[old]
             self.bits = max(self.bits + 1, (2 * self.known).bit_length())
-            self.keys, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._put(held, number)
-        self._put(keys, np.arange(now, self.known, dtype=np.int32))
+            self.keys, self.span = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+            self._put(held, spans)
+        self._put(keys, span)
 
     def encode(self, texts: list[str | None], end: int = 0) -> list[np.ndarray]:
         """The ids of each text with the end id."""
@@ -427,11 +548,11 @@ class Tokenizer:
                 place[new] = self._place(keys[new])
             else:
                 place = self._place(keys)
-        at = self.number.take(place)
-        size = self.first[at + 1] - self.first[at]
+        span = self.span.take(place)
+        size = span & 0xFFFFFFFF
         upto = np.concatenate([[0], np.cumsum(size)])
         n = np.diff(upto[last], prepend=0)
-        ids = self.store[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])]
+        ids = self.store.take(np.repeat((span >> 32) - upto[:-1], size) + np.arange(upto[-1]))
         others = iter(self.library.encode_batch([t or "" for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
         if whole.any():
             parts = np.split(ids, np.cumsum(n)[:-1])
@@ -469,7 +590,7 @@ def cut(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     after = np.append(kind[1:], 0)
     # the last white space before something else stands alone, and a space goes with what follows
     tail = (kind == _SPACE) & (after != _SPACE) & (after != 0)
-    edge[:-1][tail] = True
+    edge[:-1] |= tail
     spaced = np.flatnonzero(tail & (buf == 32))
     edge[spaced + 1] = False
     # contractions, where a cut begins with the apostrophe
